@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, simhash, substring_index, suffix
+from pagemill.llm import bpe, mil, simhash, substring_index, suffix, warc, wordpiece
 from pagemill.runtime import table
 
 
@@ -26,18 +26,36 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive(table(spark, sf_dir, "pages"))
+    found = warc.read(spark, folder, "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string", verify="true")
+    number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_index.remove_repeats(table(spark, sf_dir, "documents"), batches=3, fanout=1)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op9_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mil.train(docs, table(spark, sf_dir, "labels"))
+    scored = mil.score(docs, model).select("row.doc_id", "score")
+    return scored.select("doc_id", mil.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=200)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op5_substring": op5_substring, "op10_suffix": op10_suffix}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op4_warc, op5_substring, op7_wordpiece, op9_mil, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
