@@ -109,7 +109,7 @@ class WarcReader(DataSourceReader):
                 room = most
             out[-1].append(path)
             room -= size
-        return [Files(tuple(x)) for x in out]
+        return [Files(tuple(x)) for x in out] or [Files(())]
 
     def _wanted(self, fields: dict[str, str]) -> bool:
         for column, kind, values in self.tests:
