@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, mil, simhash, substring_index, suffix, warc, wordpiece
+from pagemill.llm import bpe, mil, outliers, simhash, substring_index, suffix, warc, wordpiece
 from pagemill.runtime import table
 
 
@@ -38,6 +38,11 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = outliers.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -55,7 +60,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op4_warc, op5_substring, op7_wordpiece, op9_mil, op10_suffix)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op4_warc, op5_substring, op6_outliers, op7_wordpiece, op9_mil, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
