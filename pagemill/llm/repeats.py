@@ -126,7 +126,8 @@ def judge(units: Units, met: DataFrame) -> tuple[DataFrame, DataFrame]:
     covered = met.where("NOT mixed").select("key", "at", "n")
     mixed = met.where("mixed")
     kinds = mixed.groupBy("mh", "s").agg(F.sum("copies").alias("same"), F.min("ord").alias("lead"), F.min(F.struct("key", "at")).alias("rep"))
-    told = mixed.join(kinds, ["mh", "s"])
+    # written apart: a join of two plain exchanges is one that Spark can split for a hot key
+    told = mixed.join(written(kinds, "kinds"), ["mh", "s"])
     if units.ordered:
         out, stay = F.col("need") & (F.col("ord") > F.col("lead")), F.col("ord") == F.col("lead")
         need, copies = F.col("need") & (F.col("ord") > F.col("first")), F.lit(1)
@@ -255,7 +256,7 @@ def settle_contested(units: Units, contested: DataFrame, docs: DataFrame) -> lis
         if hot.isEmpty():
             return out
         level = written(recut(units, hot, gram), "level")
-        met = meet(units, level, repeated(units, anchor_totals(level)))
+        met = meet(units, level, written(repeated(units, anchor_totals(level)), "anchors"))
         covered, rows = judge(units, written(met, "met"))
         out.append(covered)
         rows = written(rows.select("key", "at", "n", "mh", "s", "ord", "need", "copies", "seg", "hot"), "contested")

@@ -66,7 +66,7 @@ class FingerprintIndex:
         for run in self.history():
             known = run.groupBy("mh").agg(F.min("s").alias("l"), F.max("s").alias("h"), F.min("key").alias("k"))
             totals = totals.hint("merge").join(known, "mh", "left").select("mh", F.least("lo", "l").alias("lo"), F.greatest("hi", "h").alias("hi"), "total", F.least("first", "k").alias("first"), F.greatest("last", "k").alias("last"))
-        kept = written(R.repeated(units, totals), "anchors") if self.runs else R.repeated(units, totals)
+        kept = written(R.repeated(units, totals), "anchors")
         met = R.meet(units, rows, kept)
         for run in self.history():
             mixed = kept.where("mixed")

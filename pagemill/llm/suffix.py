@@ -35,7 +35,8 @@ def remove_repeats(df: DataFrame, length: int = 200, gram: int = 32, bound: int
     units = R.Units(words=False, length=length, grams=levels(gram, length), ordered=False, bound=bound)
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     rows = R.run_rows(docs, units).withColumns({"ord": F.lit(0).cast("long"), "need": F.lit(True), "copies": F.lit(1)})
-    met = written(R.meet(units, rows, R.repeated(units, R.anchor_totals(rows))), "met")
+    kept = written(R.repeated(units, R.anchor_totals(rows)), "anchors")
+    met = written(R.meet(units, rows, kept), "met")
     covered, contested = R.judge(units, met)
     for more in R.settle_contested(units, written(contested, "contested"), docs):
         covered = covered.union(more)
