@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, mil, outliers, simhash, substring_index, suffix, warc, wordpiece
+from pagemill.llm import bpe, decontaminate, mil, outliers, pseudonym, simhash, substring_index, suffix, warc, wordpiece
 from pagemill.runtime import table
 
 
@@ -26,6 +26,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return decontaminate.flagged(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive(table(spark, sf_dir, "pages"))
     found = warc.read(spark, folder, "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string", verify="true")
@@ -47,6 +52,10 @@ def op7_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonym.pseudonymise(table(spark, sf_dir, "documents")).select("row.doc_id", "n_replaced", "text")
+
+
 def op9_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = mil.train(docs, table(spark, sf_dir, "labels"))
@@ -60,7 +69,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op4_warc, op5_substring, op6_outliers, op7_wordpiece, op9_mil, op10_suffix)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_templates, op4_warc, op5_substring, op6_outliers, op7_wordpiece, op8_pseudonyms, op9_mil, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
