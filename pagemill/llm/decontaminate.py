@@ -34,70 +34,78 @@ UNITS = "mm cm m km ft yd mi mg g kg t oz lb lbs ml cl l s sec secs second secon
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 EDGES = ".,;:!?\"'()[]{}<>“”‘’«»…"
 SPACES = " \t\n\x0b\x0c\r"
-NUMBER, UNIT, NAME = "<n>", "<u>", "<p>"
+#: Placeholders of numbers, units and names; no text word has the first character at its begin.
+NUMBER, UNIT, NAME = "\x01n", "\x01u", "\x01p"
+_EDGE = "".join("\\" + c if c in ".?()[]{}<>!" else c for c in EDGES)
+_BEGIN = rf"(?<![^{SPACES}(\[\"'“‘«])"
+_END = rf"(?=[{_EDGE}]*(?:[{SPACES}]|$))"
+#: A capital in a word whose predecessor doesn't end a sentence, closing marks aside.
+#: In each pattern the cheapest test of a place stands first: most places fail it.
+_NAME = rf"(?=[\"'(\[“‘«\p{{Lu}}])(?<=[{SPACES}])(?=[\"'(\[“‘«]*\p{{Lu}})(?<=[^.!?{SPACES}\"')\]”’»][\"')\]”’»]{{0,2}}[{SPACES}]{{1,3}})[^{SPACES}]*?{_END}"
+_NUMBER = rf"(?=[$+\-0-9]){_BEGIN}[$+\-]?[0-9][0-9.,/:]*?%?{_END}"
+_UNIT = rf"{NUMBER}([{SPACES}]+)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))}){_END}"
+_SPLIT = rf"[{_EDGE}]*[{SPACES}][{_EDGE}{SPACES}]*"
 
 
-def raw_words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda x: F.length(F.btrim(x, F.lit(EDGES))) > 0)
+def _trimmed(text: Column) -> Column:
+    return F.btrim(F.replace(F.coalesce(text, F.lit("")), F.lit("\x01"), F.lit(" ")), F.lit(EDGES + SPACES))
 
 
-def _is_number(word: Column) -> Column:
-    """Digits with separators, sign, currency or percent sign; or a number word."""
-    first = F.ascii(word)
-    digits = (first.between(36, 57)) & word.rlike(r"^[+\-]?[$]?[0-9][0-9.,/:]*%?$")
-    return digits | F.lower(word).isin(NUMBER_WORDS)
+def raw_words(trimmed: Column) -> Column:
+    """The words of a trimmed text, without punctuation at their ends; as many as its template has."""
+    return F.filter(F.split(trimmed, _SPLIT), lambda x: x != "")
 
 
-def template(words: Column) -> Column:
-    """Canonical words of an array of raw words; typed words as placeholders."""
-    core = lambda x: F.btrim(x, F.lit(EDGES))
+def template(trimmed: Column) -> Column:
+    """Canonical text: placeholders for typed words, the rest in lower case.
 
-    def one(x: Column, i: Column) -> Column:
-        word = core(x)
-        code = F.ascii(word)
-        before = F.get(words, i - 1)
-        begins = (i == 0) | F.right(before, F.lit(1)).isin(".", "!", "?")
-        low = F.lower(word)
-        capital = (code.between(65, 90) | (code > 127)) & (word != low) & ~begins
-        return (
-            F.when((i > 0) & low.isin(UNITS) & _is_number(core(before)), UNIT)
-            .when(code.between(36, 57) & word.rlike(r"^[+\-]?[$]?[0-9][0-9.,/:]*%?$"), NUMBER)
-            .when(low.isin(NUMBER_WORDS), NUMBER)
-            .when(capital & word.rlike(r"^\p{Lu}"), NAME)
-            .otherwise(low)
-        )
-
-    return F.transform(words, one)
-
-
-def _windows(words: str, shape: str, size: int) -> Column:
-    """(p, size, h, slots) of each window; slots are its placeholders' words, null if there are none."""
-    holder = lambda x: x.isin(NUMBER, UNIT, NAME)
-    typed = F.exists(shape, holder)
-    core = lambda x: F.lower(F.btrim(x, F.lit(EDGES)))
+    Whole-text replacements in turn, each of which stays within one word;
+    number words are typed later, word by word.
+    """
+    out = F.lower(F.regexp_replace(trimmed, _NAME, NAME))
+    for pattern, holder in ((_NUMBER, NUMBER), (_UNIT, f"{NUMBER}$1{UNIT}")):
+        out = F.regexp_replace(out, pattern, holder)
+    return out
 
-    def slots(p: Column) -> Column:
-        mine = F.slice(shape, p, size)
-        return F.when(F.exists(mine, holder), F.array_join(F.filter(F.transform(F.slice(words, p, size), lambda x, i: F.when(holder(F.get(mine, i)), core(x)).otherwise(F.lit("\x1e"))), lambda x: x != "\x1e"), "\x1f"))
 
-    count = F.size(shape) - (size - 1)
-    struct = lambda p: F.struct(p.alias("p"), F.lit(size).alias("size"), F.xxhash64(F.slice(shape, p, size), F.lit(size)).alias("h"), F.when(F.col("typed"), slots(p)).alias("slots"))
-    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), struct))
+def _typed_word(x: Column) -> Column:
+    return x.isin(NUMBER, UNIT, NAME)
 
 
 def _shaped(df: DataFrame, key: str, text: str) -> DataFrame:
-    words = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), raw_words(F.col(text).cast("string")).alias("words"))
-    shaped = words.withColumn("shape", template(F.col("words")))
-    return shaped.withColumn("typed", F.exists("shape", lambda x: x.isin(NUMBER, UNIT, NAME)))
+    """(key, shape, hashes, words): template words, their hashes, and raw words if any word is typed."""
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), _trimmed(F.col(text).cast("string")).alias("trimmed"))
+    shaped = texts.select("key", "trimmed", template(F.col("trimmed")).alias("canonical"))
+    counted = lambda x: F.when(x.isin(NUMBER_WORDS), NUMBER).otherwise(x)
+    words = shaped.select("key", "trimmed", F.transform(raw_words(F.col("canonical")), counted).alias("shape"))
+    # raw words are only needed for slots, and most windows have none
+    told = F.when(F.exists("shape", lambda x: x.startswith("\x01")), raw_words(F.col("trimmed")))
+    return words.select("key", "shape", F.transform("shape", lambda x: F.xxhash64(x)).alias("hashes"), told.alias("words"))
+
+
+def _windows(size: int) -> Column:
+    """(p, size, h, slots) of each window; slots are its typed words as written, null if there are none."""
+    holds = lambda p: F.exists(F.slice("shape", p, size), _typed_word)
+
+    def slots(p: Column) -> Column:
+        mine = F.slice("shape", p, size)
+        told = F.transform(F.slice("words", p, size), lambda x, i: F.when(_typed_word(F.get(mine, i)), F.lower(x)).otherwise(F.lit("\x1e")))
+        return F.when(holds(p), F.array_join(F.filter(told, lambda x: x != "\x1e"), "\x1f"))
+
+    def one(x: Column, i: Column) -> Column:
+        h = F.xxhash64(F.lit(size), x, *[F.get("hashes", i + k) for k in range(1, size)])
+        return F.struct((i + 1).alias("p"), F.lit(size).alias("size"), h.alias("h"), F.when(F.col("words").isNotNull(), slots(i + 1)).alias("slots"))
+
+    return F.transform(F.slice("hashes", 1, F.greatest(F.size("hashes") - (size - 1), F.lit(0))), one)
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, least: int = 4, key: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, q, size, h, item_slots, n_windows): usable windows, each template once per item."""
     shaped = _shaped(items, key, text).withColumn("n", F.size("shape")).where(F.col("n") >= least)
-    lengths = [F.when(F.col("n") == n, _windows("words", "shape", n)) for n in range(least, window)]
-    own = F.coalesce(F.when(F.col("n") >= window, _windows("words", "shape", window)), *lengths)
+    lengths = [F.when(F.col("n") == n, _windows(n)) for n in range(least, window)]
+    own = F.coalesce(F.when(F.col("n") >= window, _windows(window)), *lengths)
     tall = shaped.select("key", "shape", F.explode(own).alias("w"))
-    plain = F.size(F.filter(F.slice("shape", F.col("w.p"), F.col("w.size")), lambda x: ~x.isin(NUMBER, UNIT, NAME)))
+    plain = F.size(F.filter(F.slice("shape", F.col("w.p"), F.col("w.size")), lambda x: ~_typed_word(x)))
     usable = tall.where(2 * plain >= F.col("w.size")).select(F.col("key").alias("item_id"), F.col("w.p").alias("q"), "w.size", "w.h", F.col("w.slots").alias("item_slots"))
     once = usable.groupBy("item_id", "h", "size").agg(F.min(F.struct("q", "item_slots")).alias("r")).select("item_id", "r.q", "size", "h", "r.item_slots")
     counts = once.groupBy("item_id").agg(F.count("*").alias("n_windows"))
@@ -108,7 +116,7 @@ def matches(docs: DataFrame, windows: DataFrame, sizes: list[int], small: bool,
     """(key, item_id, shift, q, n_windows, item_slots, slots) of every window that matches."""
     shaped = _shaped(docs, key, text)
     # lengths other than the window's are those of short items: at most window - least of them
-    every = F.filter(F.flatten(F.array(*[F.coalesce(_windows("words", "shape", n), F.array()) for n in sizes])), lambda x: x.isNotNull()) if len(sizes) > 1 else _windows("words", "shape", sizes[0])
+    every = F.flatten(F.array(*[_windows(n) for n in sizes])) if len(sizes) > 1 else _windows(sizes[0])
     tall = shaped.select("key", F.explode(every).alias("w")).select("key", F.col("w.p").alias("p"), F.col("w.h").alias("h"), F.col("w.size").alias("size"), F.col("w.slots").alias("slots"))
     side = F.broadcast(windows) if small else windows
     return tall.join(side, ["h", "size"]).select("key", "item_id", (F.col("p") - F.col("q")).alias("shift"), "q", "n_windows", "item_slots", "slots")

@@ -40,6 +40,12 @@ def test_short_items_and_empty_tables(spark):
 
 
 def test_templates(spark):
-    df = spark.createDataFrame([("He paid $1,200.50 for 3 kg. Then Mary and Étienne (twelve) in 5 cm",)], "t string")
-    got = df.select(D.template(D.raw_words(df["t"])).alias("x")).first()["x"]
-    assert got == ["he", "paid", "<n>", "for", "<n>", "<u>", "then", "<p>", "and", "<p>", "<n>", "in", "<n>", "<u>"]
+    texts = ['He paid $1,200.50 for 3 kg. Then Mary and Étienne (twelve) in 5 cm', '"Stop!" He ran to "Ann." Bob  said: yes\x01 one.\n\nNext 3.5% of O\'Brien, ok', "", "... !?", "a  -  b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["key"]: r for r in D._shaped(df, "i", "t").collect()}
+    n, u, p = D.NUMBER, D.UNIT, D.NAME
+    assert got[0]["shape"] == ["he", "paid", n, "for", n, u, "then", p, "and", p, n, "in", n, u]
+    assert got[0]["words"] == ["He", "paid", "$1,200.50", "for", "3", "kg", "Then", "Mary", "and", "Étienne", "twelve", "in", "5", "cm"]
+    assert got[1]["shape"] == ["stop", "he", "ran", "to", p, "bob", "said", "yes", n, "next", n, "of", p, "ok"]
+    assert len(got[1]["words"]) == len(got[1]["shape"])
+    assert got[2]["shape"] == [] and got[3]["shape"] == [] and got[4]["shape"] == ["a", "-", "b"] and got[4]["words"] is None
