@@ -15,7 +15,7 @@ def word_confidence(words: Column) -> Column:
     """
     kept = F.filter(words, lambda w: ~is_blank(w["text"]) & (w["conf"] >= 0))
     total = F.aggregate(kept, F.lit(0.0), lambda a, w: a + w["conf"])
-    return F.when(F.size(kept) > 0, F.round(total / F.size(kept) / 100.0, 4))
+    return F.when(F.size(kept) > 0, F.round(total / (F.size(kept) * 100.0), 4))
 
 
 def sequence_confidence(scores: Column, sequence: Column, skip: Column) -> Column:

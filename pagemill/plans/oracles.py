@@ -116,7 +116,7 @@ SQL["page_confidence"] = f"""WITH RECURSIVE {PACKED} SELECT d.doc_id, round(coal
 SQL["word_confidence"] = f"""
 WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM documents),
 c AS (SELECT doc_id, ((doc_id * 13 + i * 7) % 102 - 1)::DOUBLE AS conf FROM w WHERE {strip('w')} <> '')
-SELECT d.doc_id, round(avg(conf) / 100.0, 4) AS confidence FROM documents d LEFT JOIN (SELECT * FROM c WHERE conf >= 0) c USING (doc_id) GROUP BY d.doc_id"""
+SELECT d.doc_id, round(sum(conf) / (count(conf) * 100.0::DOUBLE), 4) AS confidence FROM documents d LEFT JOIN (SELECT * FROM c WHERE conf >= 0) c USING (doc_id) GROUP BY d.doc_id"""
 
 SQL["sequence_confidence"] = """
 WITH s AS (SELECT doc_id, s.s AS step, (doc_id + (s.s + 1) * (s.s + 1)) % 5 AS token FROM documents, range(9) s(s) WHERE s.s <= doc_id % 9),
