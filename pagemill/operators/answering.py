@@ -92,12 +92,8 @@ def kept_claims(claims: Column, verdict, settings: Settings = DEFAULT) -> Column
     return F.filter(first, lambda c: ~c.rlike(LAYOUT_MARK) & F.coalesce(verdict(c), F.lit(False)))
 
 
-def answers(drafts: DataFrame, settings: Settings = DEFAULT, verifier=contains_verifier) -> DataFrame:
-    """answer, reason, sources, is_cited for rows with sources (array), draft and retry.
-
-    retry is the second draft, used where the first one's citations aren't
-    real.  Each outcome is one branch; the first that applies wins.
-    """
+def prepared(drafts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """drafts with what the outcomes are decided on; `_claims` are the statements of the draft that counts."""
     real_text = F.filter("sources", lambda s: ~T.is_blank(s["text"]))
     trusted = F.filter("sources", lambda s: is_trusted(s, settings))
     base = drafts.withColumns({"_n_real": F.size(real_text), "_trusted": trusted})
@@ -109,7 +105,16 @@ def answers(drafts: DataFrame, settings: Settings = DEFAULT, verifier=contains_v
     base = base.withColumn("_d3", F.when(F.col("_again"), strip_leaks(F.col("retry"))).otherwise(F.col("_d2")))
     mend = (F.col("_n") == 1) & ~citations_are_real(F.col("_d3"), F.col("_n"))
     base = base.withColumn("_d4", F.when(mend, repair_labels(F.col("_d3"))).otherwise(F.col("_d3")))
-    base = base.withColumn("_claims", split_claims(F.col("_d4")))
+    return base.withColumn("_claims", split_claims(F.col("_d4")))
+
+
+def answers(drafts: DataFrame, settings: Settings = DEFAULT, verifier=contains_verifier) -> DataFrame:
+    """answer, reason, sources and n_dropped for rows with sources (array), draft and retry.
+
+    retry is the second draft, used where the first one's citations aren't
+    real.  Each outcome is one branch; the first that applies wins.
+    """
+    base = prepared(drafts, settings)
     base = base.withColumn("_kept", kept_claims(F.col("_claims"), lambda c: verifier(c, F.col("_trusted")), settings))
     refused_again = F.col("_again") & (T.strip(F.coalesce("retry", F.lit(""))) == NOT_FOUND) | (F.col("_again") & (F.length("_d3") == 0) & F.coalesce(F.contains(F.col("retry"), F.lit(NOT_FOUND)), F.lit(False)))
     reason = (

@@ -107,5 +107,12 @@ class Engine:
         again = (n > 0) & ~answering.citations_are_real(answering.append_label(answering.strip_leaks(F.col("draft")), n), n) & (F.length(answering.strip_leaks(F.col("draft"))) > 0)
         retried = providers.apply(first.where(again), self.generator, ["question", "sources", "draft"], "retry", "string")
         drafts = retried.unionByName(first.where(~F.coalesce(again, F.lit(False))).withColumn("retry", F.lit(None).cast("string")))
-        done = answering.answers(drafts.withColumn("sources", F.col("all_sources")).drop("all_sources"), self.settings)
+        drafts = written(drafts.withColumn("sources", F.col("all_sources")).drop("all_sources"), "second")
+        done = answering.answers(self._judged(drafts), self.settings, lambda claim, _: F.array_contains("passed", claim))
         return done.select("query_id", "question", "answer", "reason", "sources", "n_dropped")
+
+    def _judged(self, drafts: DataFrame) -> DataFrame:
+        """drafts with `passed`: the claims that the verifier passes."""
+        claims = answering.prepared(drafts, self.settings).select("query_id", F.col("_trusted").alias("sources"), F.posexplode("_claims").alias("pos", "claim"))
+        passed = providers.verified_claims(claims, self.verifier, self.settings).groupBy("query_id").agg(F.collect_set("claim").alias("passed"))
+        return drafts.join(passed, "query_id", "left").withColumn("passed", F.coalesce("passed", F.array().cast("array<string>")))

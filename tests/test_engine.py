@@ -201,3 +201,41 @@ def test_image_files_are_recognised(spark, tmp_path):
     assert (row["content_type"], row["methods"], row["ocr_pages"], row["status"]) == ("handwritten_ocr", "trocr", 1, "INDEXED")
     chunk_row = engine.store.chunks().first()
     assert chunk_row["text"].count("line of") == 3 and "#" not in chunk_row["text"] and chunk_row["ocr_confidence"] == 0.9
+
+
+def test_chat_endpoint(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def _reply(self, body):
+            data = json.dumps(body).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_GET(self):
+            self._reply({"models": [{"name": "small:latest"}]})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            user = asked["messages"][1]["content"]
+            assert asked["options"]["temperature"] == 0 and not asked["stream"]
+            self._reply({"message": {"content": ("PASS" if "sky" in user.split("CLAIM:")[1] else "Well, maybe") if "CLAIM:" in user else "The sky is blue [S1]"}})
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    chat = providers.ChatModel(f"http://127.0.0.1:{server.server_port}", "small")
+    assert chat.ready() and not providers.ChatModel(chat.url, "other").ready() and not providers.ChatModel("http://127.0.0.1:9", "small").ready()
+    with pytest.raises(RuntimeError, match="pull"):
+        providers.ChatModel(chat.url, "other").require()
+    source = [{"text": "The sky is blue.", "filename": "f", "page_number": 1, "content_type": "digital_text"}]
+    rows = spark.createDataFrame([("why", source)], "question string, sources array<struct<text:string,filename:string,page_number:int,content_type:string>>")
+    assert providers.apply(rows, providers.ChatGenerator(chat), ["question", "sources"], "draft", "string").first()["draft"] == "The sky is blue [S1]"
+    claims = spark.createDataFrame([(0, "the sky [S1]", source), (1, "the sea [S1]", source)], "pos int, claim string, sources array<struct<text:string,filename:string,page_number:int,content_type:string>>")
+    assert [r["pos"] for r in providers.verified_claims(claims, providers.ChatVerifier(chat), Settings()).collect()] == [0]
+    server.shutdown()
