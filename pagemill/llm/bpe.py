@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pagemill.runtime import ship_package
 
 #: Words whose ids are remembered by one Python worker; beyond it the memory starts anew.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 100_000
 #: Tokens decoded at once, which bounds the memory for a very long text.
 DECODE_BLOCK = 1 << 16
 #: White space as the tokenizer's pattern \\s takes it (str.split() would also split at \\x1c-\\x1f).
@@ -174,7 +174,7 @@ class WordBpe:
         words = self.words
         if len(words) > REMEMBERED_WORDS:
             words.clear()
-        if len(self.compatible) > 4 * REMEMBERED_WORDS:
+        if len(self.compatible) > REMEMBERED_WORDS:
             self.compatible.clear()
         return [words[x] for x in chunks]
 
@@ -212,7 +212,7 @@ def codec(path: str) -> WordBpe:
     return _codecs[path]
 
 
-def _rows(batches: Iterator[pa.RecordBatch], limit: int = 512) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], limit: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, limit):
             yield batch.slice(at, limit)

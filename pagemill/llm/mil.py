@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm import anchors as A
+from pagemill.llm.simhash import small_batches
 from pagemill.runtime import ship_package
 
 PASSAGE_WORDS = 96
@@ -187,7 +188,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     where = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(0).field(where).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(x) for x in texts], pa.float64())], ["row", "score"])
 

@@ -43,6 +43,13 @@ SEED = 42
 BLOCK = 1 << 16
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices, so that only few texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fingerprint(text: str | None, shingle: int) -> int:
     words = (text or "").encode("utf-8").lower().split()
     if not words:
@@ -64,7 +71,7 @@ def fingerprints(df: DataFrame, shingle: int = 5, text: str = "text", key: str =
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             fps = [fingerprint(x, shingle) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["key", "fp"])
 
