@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, mil, outliers, pseudonym, simhash, substring_index, suffix, warc, wordpiece
+from pagemill.llm import bpe, decontaminate, mil, oracles, outliers, pseudonym, simhash, substring_index, suffix, warc, wordpiece
 from pagemill.runtime import table
 
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

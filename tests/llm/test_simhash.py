@@ -104,3 +104,40 @@ def test_key_and_chain_conditions_hold_for_every_near_pair():
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA), shingle=4).count() == 0
+
+
+def jaccard(a, b, shingle):
+    def grams(t):
+        w = t.encode().lower().split()
+        return {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8)))
+    base = [[word() for _ in range(r.randint(60, 300))] for _ in range(60)]
+    texts, of = [], []
+    for i, w in enumerate(base):
+        for _ in range(4):
+            v = list(w)
+            for _ in range(len(v) // 80):
+                v[r.randrange(len(v))] = word()
+            texts.append(" ".join(v))
+            of.append(i)
+    texts += [None, "", " \n", "one two"]
+    of += [-1, -1, -1, -2]
+    df = spark.createDataFrame([(i, t, "x", None, 1) for i, t in enumerate(texts)] + [(None, texts[0], "x", None, 1), (0, texts[0], "x", None, 1)], SCHEMA)
+    for tile in (20_000, 40):
+        rows = simhash.similar_documents(df, tile=tile).collect()
+        assert len(rows) == len(texts) + 2
+        got = {x["doc_id"]: x["component"] for x in rows}
+        assert got.pop(None) is None
+        pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+        assert all(of[i] == of[j] for i, j in pairs if got[i] == got[j])
+        near = [(i, j) for i, j in pairs if of[i] == of[j] >= 0 and jaccard(texts[i], texts[j], 5) >= 0.8]
+        assert len(near) > 150 and sum(got[i] == got[j] for i, j in near) >= 0.97 * len(near)
+        assert len({got[i] for i, o in enumerate(of) if o == -1}) == 1
+    assert simhash.similar_documents(df.limit(0)).count() == 0
