@@ -55,8 +55,11 @@ class Engine:
             packed = chunking.chunk_lines(lines, ["document_name", "page_number"], "lines", self.settings)
             chunks = chunks.unionByName(packed.select("document_name", "page_number", F.lit("handwritten_ocr").alias("content_type"), F.lit("trocr").alias("extraction_method"), "position", "text", "ocr_confidence"))
             kept = kept.unionByName(lines.select("document_name", "page_number", F.lit("handwritten_ocr").alias("content_type"), F.lit("trocr").alias("extraction_method")))
-        records = written(chunking.chunk_records(chunks), "chunks")
+        # ids carry the generation, so that vectors of replaced chunks are nobody's
+        records = written(chunking.chunk_records(chunks, str(self.store.next_generation())), "chunks")
         self.store.replace(records)
+        if self.embedder is not None:
+            self.store.index(records, self.embedder)
         from pagemill.operators.catalog import upload_summary
 
         summary = upload_summary(kept, records)
@@ -87,7 +90,7 @@ class Engine:
     def _dense(self, asked: DataFrame, chunks: DataFrame) -> DataFrame | None:
         if self.embedder is None:
             return None
-        vectors = providers.apply(chunks.select("document_key", "chunk_index", "text"), self.embedder, ["text"], "embedding", "array<double>").drop("text")
+        vectors = self.store.vectors()
         queries = providers.apply(asked.select("query_id", "document_key", F.col("question").alias("text")), self.embedder, ["text"], "vector", "array<double>").drop("text")
         totals = chunks.groupBy("document_key").agg(F.count("*").alias("n_chunks"))
         pairs = queries.join(vectors, "document_key").join(totals, "document_key")

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -48,6 +49,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table as a join's broadcast side if its counted rows are few, else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder made by shared_folder, whatever file system it is on."""
     jvm = spark.sparkContext._jvm

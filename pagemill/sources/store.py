@@ -12,6 +12,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill import providers
 from pagemill.functions import text as T
 from pagemill.operators import catalog
 from pagemill.schemas import CHUNKS
@@ -24,9 +25,9 @@ class ChunkStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self) -> bool:
+    def _exists(self, path: str | None = None) -> bool:
         jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
+        target = jvm.org.apache.hadoop.fs.Path(path or self.path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
     def log(self) -> DataFrame:
@@ -42,13 +43,13 @@ class ChunkStore:
             log = log.where(F.col("document_key") == T.document_key(F.lit(document_name)))
         return catalog.latest(log).where("NOT deleted").drop("generation", "deleted")
 
-    def _next(self) -> int:
+    def next_generation(self) -> int:
         return (self.log().agg(F.max("generation")).first()[0] or 0) + 1
 
     def replace(self, chunks: DataFrame) -> None:
         """Append chunks (schema CHUNKS) as the newest generation of their documents."""
         with _one_writer:
-            self._append(chunks.withColumns({"generation": F.lit(self._next()).cast("long"), "deleted": F.lit(False)}))
+            self._append(chunks.withColumns({"generation": F.lit(self.next_generation()).cast("long"), "deleted": F.lit(False)}))
 
     def delete(self, names: list[str]) -> None:
         """Delete documents by name; unknown and blank names do nothing."""
@@ -58,13 +59,26 @@ class ChunkStore:
             gone = self.spark.createDataFrame([(n,) for n in names], "document_name string").select("document_name", T.document_key(F.col("document_name")).alias("document_key"))
             known = self.log().select("document_key").distinct()
             rows = gone.where("length(document_key) > 0").dropDuplicates(["document_key"]).join(known, "document_key", "left_semi")
-            self._append(rows.withColumns({"generation": F.lit(self._next()).cast("long"), "deleted": F.lit(True)}))
+            self._append(rows.withColumns({"generation": F.lit(self.next_generation()).cast("long"), "deleted": F.lit(True)}))
 
     def _append(self, rows: DataFrame) -> None:
         fields = self.spark.createDataFrame([], LOG).schema
         shaped = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
         shaped.write.mode("append").parquet(self.path)
 
+    def index(self, chunks: DataFrame, embedder: providers.Provider) -> None:
+        """Embed chunks that have text once, and keep the vectors by chunk id."""
+        some = chunks.where(~T.is_blank(F.col("text"))).select("id", "text")
+        providers.apply(some, embedder, ["text"], "embedding", "array<double>").select("id", "embedding").write.mode("append").parquet(f"{self.path}-vectors")
+
+    def vectors(self) -> DataFrame:
+        """(document_key, chunk_index, embedding) of live chunks; vectors of replaced chunks never surface."""
+        live = self.chunks().select("id", "document_key", "chunk_index")
+        if not self._exists(f"{self.path}-vectors"):
+            return live.select("document_key", "chunk_index", F.lit(None).cast("array<double>").alias("embedding")).where(F.lit(False))
+        kept = self.spark.read.schema("id string, embedding array<double>").parquet(f"{self.path}-vectors").dropDuplicates(["id"])
+        return live.join(kept, "id").drop("id")
+
     def compact(self, path: str) -> ChunkStore:
         """A new store with the live generations only."""
         live = catalog.latest(self.log()).where("NOT deleted")

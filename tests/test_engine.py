@@ -66,6 +66,21 @@ def test_ingest_reports_and_rejects(engine):
     assert all("Common header" not in r["text"] for r in engine.store.chunks("DECK.pdf ").where("page_number < 3").collect())
 
 
+def test_vectors_are_kept_once_and_die_with_their_chunks(spark, tmp_path):
+    engine = Engine(spark, f"{tmp_path}/store", embedder=providers.HashedEmbedder(16))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Rivers rise in spring. " * 40)
+    engine.ingest(f"{tmp_path}/in")
+    first = engine.store.vectors().count()
+    (tmp_path / "in" / "a.txt").write_text("Dams hold water back.")
+    engine.ingest(f"{tmp_path}/in")
+    assert first > 1 and engine.store.vectors().count() == 1 == engine.store.chunks().count()
+    norm = sum(x * x for x in engine.store.vectors().first()["embedding"])
+    assert abs(norm - 1) < 1e-9
+    engine.delete(["A.TXT"])
+    assert engine.store.vectors().count() == 0 and engine.health()["documents"] == 0
+
+
 def test_questions_stay_in_their_document(spark, engine):
     asked = spark.createDataFrame(
         [(1, "How many days of paid leave?", "policy.TXT"), (2, "Summarize this document", "deck.pdf"), (3, "paid leave days", "notes.docx"), (4, " ", "Policy.txt"), (5, "leave", "unknown.txt")],
