@@ -255,7 +255,7 @@ def _wide_forest(fps: np.ndarray, block: np.ndarray, first: int, limit: int, acr
     count = fps.shape[1]
     turned = np.roll(fps, -first, axis=1)
     # few chain lengths prune nearly all; the last one is the full distance
-    steps = [n for n in (2, 4, 8, 16) if n < count] + [count]
+    steps = [n for n in (LOOK_AHEAD, 8, 16) if n < count] + [count]
     left = np.arange(len(fps))
     edges: list[tuple[int, int]] = []
     while len(left):
@@ -275,6 +275,26 @@ def _wide_forest(fps: np.ndarray, block: np.ndarray, first: int, limit: int, acr
     return edges
 
 
+#: Groups up to this size are looked through batch-wise first: nearly all have no candidate.
+SMALL_GROUP = 8
+LOOK_AHEAD = 4
+
+
+def _promising(kind: np.ndarray, fps: np.ndarray, group: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
+    """Which groups can have a link: larger ones, and those where some pair keeps the chain of LOOK_AHEAD segments."""
+    count = fps.shape[1]
+    ahead = np.take_along_axis(fps, (kind[:, None] + np.arange(LOOK_AHEAD)) % count, axis=1)
+    out = size > SMALL_GROUP
+    for lag in range(1, SMALL_GROUP):
+        at = np.flatnonzero(group[lag:] == group[:-lag])
+        at = at[~out[group[at]]]
+        if not len(at):
+            break
+        near = np.bitwise_count(ahead[at] ^ ahead[at + lag]).sum(axis=1, dtype=np.int64) <= LOOK_AHEAD * limit // count
+        out[group[at[near]]] = True
+    return out
+
+
 def _wide_search(limit: int):
     def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
@@ -297,9 +317,12 @@ def _wide_search(limit: int):
             kind, part, tile = (batch.column(i).to_numpy() for i in range(3))
             change = (kind[1:] != kind[:-1]) | (part[1:] != part[:-1]) | (tile[1:] != tile[:-1])
             cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(kind)]])
-            # groups of one row within the batch need no look; its first and last may go on outside
+            # the first and last group of a batch may go on outside
             size = np.diff(cuts)
-            look = np.flatnonzero((size > 1) | (np.arange(len(size)) == 0) | (np.arange(len(size)) == len(size) - 1))
+            fps = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(len(kind), -1)
+            wanted = _promising(kind, fps, np.repeat(np.arange(len(size)), size), size, limit)
+            wanted[[0, -1]] = True
+            look = np.flatnonzero(wanted)
             for g in look.tolist():
                 a = int(cuts[g])
                 name = (kind[a], part[a], tile[a])
