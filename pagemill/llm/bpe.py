@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from pagemill.runtime import ship_package
 
-#: Words whose ids are remembered by one Python worker; beyond it the memory starts anew.
-REMEMBERED_WORDS = 100_000
+#: Words whose ids are remembered by one Python worker, twice: the latest and those before.
+REMEMBERED_WORDS = 120_000
 #: Tokens decoded at once, which bounds the memory for a very long text.
 DECODE_BLOCK = 1 << 16
 #: White space as the tokenizer's pattern \\s takes it (str.split() would also split at \\x1c-\\x1f).
@@ -50,12 +50,20 @@ def _byte_alphabet() -> list[str]:
 
 
 class _Remembered(dict):
-    def __init__(self, make):
+    """Values made once; beyond `most` keys they become the old ones, of which those asked for again come back."""
+
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
         return value
 
 
@@ -89,7 +97,7 @@ class WordBpe:
                 self.split.append((a, b))
             self.merged.setdefault((a, b), number[whole])
         self.length = [len(x) for x in spelled]
-        self.vocab_id = [vocab[x] for x in self.names]
+        self.packed = [vocab[x].to_bytes(4, "little") for x in self.names]
         self.automaton = ahocorasick.Automaton()
         at = {x: i for i, x in enumerate(spelled)}
         for x, i in at.items():
@@ -99,8 +107,8 @@ class WordBpe:
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.compatible = _Remembered(lambda pair: self._stands(*pair))
-        self.words = _Remembered(self._encode_chunk)
+        self.compatible = _Remembered(lambda pair: self._stands(*pair), REMEMBERED_WORDS // 2)
+        self.words = _Remembered(self._encode_chunk, REMEMBERED_WORDS)
         # offset table: every token's text and the space that joins tokens
         names = {**{i: x for x, i in vocab.items()}, **{i: x for x, i in self.special.items()}}
         pieces = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
@@ -138,31 +146,39 @@ class WordBpe:
         length, shorter, compatible = self.length, self.shorter, self.compatible
         for end, token in self.automaton.iter(text):
             longest[end + 1 - length[token]] = token  # later ends are longer
-        alive = bytearray(b"\x01") * (n + 1)
+        token = longest[0]
+        if length[token] == n:
+            return [token]
+        alive = [True] * (n + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
+        last, at = -1, 0
         while True:
             end = at + length[token]
-            if alive[end] and (not out or compatible[out[-1], token]):
+            if alive[end] and (last < 0 or compatible[last, token]):
                 out.append(token)
                 if end == n:
                     return out
-                at, token = end, longest[end]
+                at, last, token = end, token, longest[end]
             elif shorter[token] >= 0:
                 token = shorter[token]
             else:
-                alive[at] = 0
+                alive[at] = False
                 token = out.pop()
                 at -= length[token]
+                last = out[-1] if out else -1
 
     def _encode_chunk(self, chunk: str) -> bytes:
         """Ids of one white-space-free piece of normalised text, as little-endian 32-bit."""
-        ids: list[int] = []
-        for word in self.pattern.findall(chunk):
-            raw = word.encode("utf-8")
-            symbols = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
-            ids += [self.vocab_id[t] for t in self.encode_symbols(symbols)]
-        return np.array(ids, "<u4").tobytes()
+        if not chunk.isalpha():
+            words = self.pattern.findall(chunk)
+            if len(words) > 1:
+                # a word is remembered apart from the marks that it stands with
+                return b"".join([self.words[w] for w in words])
+            if not words:
+                return b""
+        raw = chunk.encode("utf-8")
+        packed = self.packed
+        return b"".join([packed[t] for t in self.encode_symbols(raw[:-1].decode("latin-1") + chr(256 + raw[-1]))])
 
     def _encode_plain(self, text: str) -> list[bytes]:
         if text.isascii():
@@ -172,10 +188,6 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         chunks = SPACES.split(text) if CONTROL_SEPARATORS.search(text) else text.split()
         words = self.words
-        if len(words) > REMEMBERED_WORDS:
-            words.clear()
-        if len(self.compatible) > REMEMBERED_WORDS:
-            self.compatible.clear()
         return [words[x] for x in chunks]
 
     def encode(self, text: str | None) -> bytes:
@@ -246,11 +258,26 @@ def decode(df: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame:
     return chosen.mapInArrow(run, "key long, n_tokens long, ids binary, decoded string").withColumnRenamed("key", key)
 
 
+def round_trip(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """encode, then decode, in one pass: (key, n_tokens, ids, decoded). One Python worker a task holds the tables."""
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(tokenizer)
+        for batch in _rows(batches):
+            ids = [bpe.encode(x) for x in batch.column(1).to_pylist()]
+            texts = pa.array([bpe.decode(x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), texts], ["key", "n_tokens", "ids", "decoded"])
+
+    chosen = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    return chosen.mapInArrow(run, "key long, n_tokens long, ids binary, decoded string").withColumnRenamed("key", key)
+
+
 def hex_digest(column: str) -> Column:
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
 def round_trip_digests(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encode, decode, and reduce ids and decoded text to SHA-256 digests."""
-    done = decode(encode(df, tokenizer, text, key), tokenizer, key)
+    done = round_trip(df, tokenizer, text, key)
     return done.select(key, "n_tokens", hex_digest("ids").alias("ids_sha256"), hex_digest("decoded").alias("decoded_sha256"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.bpe import _byte_alphabet, _Remembered
 from pagemill.runtime import ship_package
 
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 150_000
 NOWHERE = -1
 
 _counters: dict[str, PieceCounter] = {}
@@ -53,7 +53,7 @@ class PieceCounter:
         self.fail = [NOWHERE] * len(self.next)
         self.popped = [0] * len(self.next)
         self._link()
-        self.words = _Remembered(self.count)
+        self.words = _Remembered(self.count, REMEMBERED_WORDS)
 
     def _link(self) -> None:
         waiting = deque((root, unit, node) for root in (0, 1) for unit, node in self.next[root].items())
@@ -89,8 +89,6 @@ class PieceCounter:
 
     def count_text(self, text: str | None) -> tuple[int, int]:
         words = (text or "").encode("utf-8").split()
-        if len(self.words) > REMEMBERED_WORDS:
-            self.words.clear()
         return len(words), sum(map(self.words.__getitem__, words))
 
 

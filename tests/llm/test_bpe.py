@@ -68,5 +68,12 @@ def test_round_trip_digests(spark, library):
         assert row["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_encode_and_decode_apart(spark, library):
+    df = spark.createDataFrame([(1, "Hello, it's <|endoftext|> 2024", "", 0, ""), (2, None, "", 0, "")], SCHEMA)
+    one = {r["doc_id"]: r for r in bpe.decode(bpe.encode(df, PATH), PATH).collect()}
+    both = {r["doc_id"]: r for r in bpe.round_trip(df, PATH).collect()}
+    assert one == both and one[2]["decoded"] == "" and bytes(one[1]["ids"]) == np.array(library.encode("Hello, it's <|endoftext|> 2024", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_empty_table(spark):
     assert bpe.round_trip_digests(spark.createDataFrame([], SCHEMA), PATH).count() == 0
