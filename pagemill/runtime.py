@@ -14,8 +14,18 @@ from pyspark.sql import functions as F
 _shipped: set[str] = set()
 
 
+#: Text that goes to a Python worker at once, where the session has Spark's default of 64 MB.
+BATCH_KEY, BATCH_BYTES, SPARK_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", ("67108864b", "64m", "67108864")
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let executors import this package, also where they don't share the driver's PYTHONPATH."""
+    """Let executors import this package, also where they don't share the driver's PYTHONPATH.
+
+    Arrow batches become small too: with long texts, a batch and its copies in
+    both processes are most of what a task holds.
+    """
+    if spark.conf.get(BATCH_KEY).lower() in SPARK_BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
