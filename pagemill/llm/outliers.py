@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.runtime import written
+from pagemill.runtime import small_side, written
 
 SEPARATORS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -162,8 +162,8 @@ def _first_estimate(rows: DataFrame, floor: float) -> DataFrame:
     """Coordinate-wise medians and median absolute deviations, on the grid of whole numbers."""
     d = len(FEATURES)
     tall = rows.select("g", F.posexplode(F.array(*FEATURES)).alias("i", "x"))
-    centre = _quantile(tall, "x", 0.5)
-    off = tall.join(centre.withColumnRenamed("q", "c"), ["g", "i"]).select("g", "i", F.abs(F.col("x") - F.col("c")).alias("x"))
+    centre = written(_quantile(tall, "x", 0.5), "centre")
+    off = tall.join(small_side(centre.withColumnRenamed("q", "c")), ["g", "i"]).select("g", "i", F.abs(F.col("x") - F.col("c")).alias("x"))
     spread = _quantile(off, "x", 0.5)
     both = centre.join(spread.withColumnRenamed("q", "mad"), ["g", "i"])
     pick = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c))).cast("double")
@@ -194,10 +194,11 @@ def _grid(d2: Column) -> Column:
 
 def estimate(rows: DataFrame, share: float, floor: float, steps: int) -> DataFrame:
     """Estimate of every group g of rows (g, x0..) after `steps` concentration steps."""
-    now = _first_estimate(rows, floor)
+    # a row per group: broadcast after a count, so that the rows of a large group stay where they are
+    now = written(_first_estimate(rows, floor), "estimate")
     for _ in range(steps):
-        far = written(_distance(rows, now).withColumn("b", _grid(F.col("d2"))).drop("d2"), "distances")
-        border = _quantile(far, "b", share)
+        far = written(_distance(rows, small_side(now)).withColumn("b", _grid(F.col("d2"))).drop("d2"), "distances")
+        border = small_side(written(_quantile(far, "b", share), "border"))
         now = written(_factor(_moments(far.join(border, "g").where("b <= q")), floor), "estimate")
     return now
 
@@ -213,13 +214,14 @@ def judged(df: DataFrame, share: float = 0.75, floor: float = 0.15, cutoff: floa
     group = F.when(F.col("n") >= least, F.concat(F.lit("s"), F.col("a"))).when(F.col("in_lang") >= least, F.concat(F.lit("l"), F.col("b"))).otherwise(F.lit("all"))
     groups = written(sizes.join(by_lang, "b").select("a", "b", group.alias("g")), "groups")
     # a document counts in its source's, its language's and the whole table's estimate, as far as these are in use
-    used = groups.select("g").distinct()
+    used = small_side(written(groups.select("g").distinct(), "used"))
     levels = F.array(F.concat(F.lit("s"), F.col("a")), F.concat(F.lit("l"), F.col("b")), F.lit("all"))
     members = written(passed.select(*FEATURES, F.explode(levels).alias("g")).join(used, "g"), "members")
     enough = members.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("g")
-    now = estimate(members, share, floor, steps).join(enough, "g")
-    placed = passed.join(groups.drop("b"), "a")
-    measured = _distance(placed, now).select("key", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2")
-    unmeasured = placed.join(now.select("g"), "g", "left_anti")
+    now = written(estimate(members, share, floor, steps).join(enough, "g"), "estimates")
+    placed = passed.join(small_side(groups.drop("b")), "a")
+    side = small_side(now)
+    measured = _distance(placed, side).select("key", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2")
+    unmeasured = placed.join(small_side(now.select("g")), "g", "left_anti")
     rest = unmeasured.unionByName(named.where("base_failed"), allowMissingColumns=True).select(*measured.columns[:-1], F.lit(None).cast("double").alias("d2"))
     return measured.union(rest).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).withColumnRenamed("key", key)
