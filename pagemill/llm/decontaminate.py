@@ -73,24 +73,24 @@ def _typed_word(x: Column) -> Column:
 
 
 def _shaped(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, shape, hashes, words): template words, their hashes, and raw words if any word is typed."""
+    """(key, shape, typed, hashes, words): template words, which are typed, their hashes, and raw words if any is."""
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), _trimmed(F.col(text).cast("string")).alias("trimmed"))
     shaped = texts.select("key", "trimmed", template(F.col("trimmed")).alias("canonical"))
     counted = lambda x: F.when(x.isin(NUMBER_WORDS), NUMBER).otherwise(x)
     words = shaped.select("key", "trimmed", F.transform(raw_words(F.col("canonical")), counted).alias("shape"))
     # raw words are only needed for slots, and most windows have none
-    told = F.when(F.exists("shape", lambda x: x.startswith("\x01")), raw_words(F.col("trimmed")))
-    return words.select("key", "shape", F.transform("shape", lambda x: F.xxhash64(x)).alias("hashes"), told.alias("words"))
+    marked = words.select("*", F.transform("shape", lambda x: x.startswith("\x01")).alias("typed"))
+    told = F.when(F.array_contains("typed", True), raw_words(F.col("trimmed")))
+    return marked.select("key", "shape", "typed", F.transform("shape", lambda x: F.xxhash64(x)).alias("hashes"), told.alias("words"))
 
 
 def _windows(size: int) -> Column:
     """(p, size, h, slots) of each window; slots are its typed words as written, null if there are none."""
-    holds = lambda p: F.exists(F.slice("shape", p, size), _typed_word)
+    holds = lambda p: F.array_contains(F.slice("typed", p, size), True)
 
     def slots(p: Column) -> Column:
-        mine = F.slice("shape", p, size)
-        told = F.transform(F.slice("words", p, size), lambda x, i: F.when(_typed_word(F.get(mine, i)), F.lower(x)).otherwise(F.lit("\x1e")))
-        return F.when(holds(p), F.array_join(F.filter(told, lambda x: x != "\x1e"), "\x1f"))
+        told = F.zip_with(F.slice("words", p, size), F.slice("typed", p, size), lambda x, y: F.when(y, F.lower(x)))
+        return F.when(holds(p), F.array_join(told, "\x1f"))
 
     def one(x: Column, i: Column) -> Column:
         h = F.xxhash64(F.lit(size), x, *[F.get("hashes", i + k) for k in range(1, size)])

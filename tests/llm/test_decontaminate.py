@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 from pagemill.llm import decontaminate as D
 
 DOCS = "doc_id long, text string, item_id string, slots int, key string"
@@ -49,3 +53,92 @@ def test_templates(spark):
     assert got[1]["shape"] == ["stop", "he", "ran", "to", p, "bob", "said", "yes", n, "next", n, "of", p, "ok"]
     assert len(got[1]["words"]) == len(got[1]["shape"])
     assert got[2]["shape"] == [] and got[3]["shape"] == [] and got[4]["shape"] == ["a", "-", "b"] and got[4]["words"] is None
+
+
+SEPARATORS = "[ \t\n\x0b\x0c\r]+"
+
+
+def brute_words(text):
+    """(template word, lower-case raw word) pairs by the rules, word by word."""
+    raw = [w for w in re.split(SEPARATORS, text or "") if w.strip(D.EDGES)]
+    out = []
+    for i, w in enumerate(raw):
+        core = w.strip(D.EDGES)
+        before = re.sub("[\"')\\]”’»]{0,2}$", "", raw[i - 1]) if i else "."
+        kind = core.lower()
+        if core.lower() in D.UNITS and out and out[-1][2]:
+            kind = D.UNIT
+        elif re.fullmatch(r"[$+\-]?[0-9][0-9.,/:]*%?", core):
+            kind = D.NUMBER
+        elif core.lower() in D.NUMBER_WORDS:
+            kind = D.NUMBER
+        elif core[0].isupper() and before[-1:] not in (".", "!", "?", ""):
+            kind = D.NAME
+        out.append((kind, core.lower(), kind == D.NUMBER and core[0] in "0123456789$+-"))
+    return out
+
+
+def brute_contamination(docs, items, window=8, share=0.5, least=4):
+    typed = (D.NUMBER, D.UNIT, D.NAME)
+    found = {}
+    for item, text in items:
+        words = brute_words(text)
+        if len(words) < least:
+            continue
+        size = min(window, len(words))
+        known = {}
+        for q in range(len(words) - size + 1):
+            shape = tuple(w[0] for w in words[q : q + size])
+            if 2 * sum(x not in typed for x in shape) >= size:
+                known.setdefault(shape, q)
+        for doc, body in docs:
+            there = brute_words(body)
+            shifts = {}
+            for p in range(len(there) - size + 1):
+                shape = tuple(w[0] for w in there[p : p + size])
+                if shape in known:
+                    q = known[shape]
+                    pairs, hits = shifts.setdefault(p - q, (set(), set()))
+                    hits.add(q)
+                    pairs |= {(words[q + k][1], there[p + k][1]) for k in range(size) if shape[k] in typed}
+            total = sum(len(h) for pairs, h in shifts.values() if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}))
+            if known and total >= math.ceil(len(known) * share):
+                found[doc, item] = total
+    return found
+
+
+def test_equals_brute_force(spark):
+    r = random.Random(21)
+    plain = "train leaves the station and reaches town while children walk along river banks counting boats near old bridge".split()
+
+    def word():
+        kind = r.random()
+        if kind < 0.1:
+            return f"{r.randint(1, 99)}{r.choice(['', '.5', '%'])}" + r.choice(["", " km", " hours", " kg,"])
+        if kind < 0.2:
+            return r.choice(["Ann", "Bob", "Élodie", "Kyiv,", '"Max"'])
+        return r.choice(plain) + r.choice(["", "", "", ",", ".", "!", ".)"]) if kind < 0.95 else r.choice(["three", "ten", "(two)"])
+
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(r.randint(3, 28))) for i in range(14)]
+    swap = {"Ann": "Eve", "Bob": "Ann", "Kyiv,": "Rome,", "three": "nine"}
+    docs = []
+    for i in range(140):
+        body = r.choice(items)[1]
+        kind = r.randrange(5)
+        if kind == 1:
+            body = " ".join(swap.get(w, w) for w in body.split())
+        elif kind == 2:
+            body = " ".join(r.choice(["7", "8"]) if w.isdigit() else w for w in body.split())
+        elif kind == 3:
+            w = body.split()
+            w[r.randrange(len(w))] = "other"
+            body = " ".join(w)
+        elif kind == 4:
+            body = text(20)
+        docs.append((i, text(r.randint(0, 20)) + " " + body + "\n" + text(r.randint(0, 20))))
+    want = brute_contamination(docs, items)
+    assert 60 < len(want) < 140
+    df = spark.createDataFrame([(*d, "x", 0, "k") for d in docs], DOCS)
+    found = D.contamination(df, spark.createDataFrame([(*i, 0, 0) for i in items], ITEMS)).collect()
+    assert {(f["doc_id"], f["item_id"]): f["hits"] for f in found} == want
