@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import chunking
-from pagemill.runtime import table, written
+from pagemill.runtime import spread, table, written
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as pages: the source is the document, the id the page number."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("source").alias("document_name"),
         F.col("doc_id").cast("int").alias("page_number"),
         F.coalesce("text", F.lit("")).alias("raw_text"),
@@ -33,7 +33,7 @@ def confidence(doc: Column, line: Column) -> Column:
 
 def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as recognised lines with made-up confidences."""
-    split = table(spark, sf_dir, "documents").select("doc_id", "source", T.lines(F.col("text")).alias("l"))
+    split = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", T.lines(F.col("text")).alias("l"))
     made = F.transform("l", lambda x, i: F.struct(x.alias("text"), confidence(F.col("doc_id"), i).alias("confidence")))
     return split.select("doc_id", "source", made.alias("lines"))
 

@@ -59,6 +59,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """An input of fewer splits than cores over all cores; larger inputs, so all that matter at scale, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A written table as a join's broadcast side if its counted rows are few, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
