@@ -204,167 +204,228 @@ def hexadecimal(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
-# Classes by similarity: longer fingerprints for a budget of a sixth of the bits.
+# Classes by similarity: texts whose sets of shingles have a Jaccard similarity of `similarity` or more are linked.
 #
-# A similarity of 0.8 (Jaccard, of shingles) leaves about 15 of 100 bits differing, far too many for an
-# exact key on 64 bits. So `words` fingerprints of 64 bits make one ring of 16-bit segments, four a word.
-# The ring's budget is `limit` differing bits, a proportional share of it per segment. Candidates agree in a
-# whole segment, and from there on every chain of segments must stay within its share. That a pair within the
-# limit agrees in some segment is likely, not certain: with 40 segments 95 in 100 pairs of similarity 0.8,
-# 99.9 in 100 of 0.9, and more where a class has several copies.
-
-SEGMENT_BYTES = 2
-
-
-def wide_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
-    """`words` independent 64-bit fingerprints of a text, as one string of bytes."""
+# Whether two texts are linked is decided on their whole sets of shingles; sketches only find who is to be compared.
+# A sketch is the least shingle under each of BANDS * ROWS orders. Texts that agree in a whole band and in at least
+# LOOSE of all orders go to one candidate class. Candidate classes are then searched exactly, by the rarest shingles
+# in the class (prefix filter). A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 3) ** 20, 6 in
+# 10 million, and falls under LOOSE with one of about 1 in 10 million.
+
+BANDS, ROWS, ORDER_BYTES = 20, 3, 2
+ORDERS = BANDS * ROWS
+LOOSE = ORDERS // 2
+#: Shingles of a candidate class from which its texts are dealt in blocks to several tasks.
+BLOCK_SHINGLES = 2_000_000
+_MULTIPLIERS = mix(np.arange(1, ORDERS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; words as in fingerprint."""
     parts = (text or "").encode("utf-8").lower().split()
     if not parts:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     data = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     size = min(shingle, len(parts))
     starts, ends = starts[: len(parts) - size + 1].tolist(), ends[size - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64 * words, np.int64)
-    for at in range(0, len(starts), 64 * 255):
-        hashes = np.fromiter((digest(data[a:z], SEED) for a, z in zip(starts[at : at + 64 * 255], ends[at : at + 64 * 255])), np.uint64)
-        wide = mix(hashes[:, None] ^ mix(np.arange(1, words + 1, dtype=np.uint64))[None, :])
-        bits = np.unpackbits(wide.view(np.uint8).reshape(len(hashes), 8 * words), axis=1)
-        # counts of up to 255 rows fit into bytes
-        for row in range(0, len(bits), 255):
-            ones += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
-    return np.packbits(ones * 2 > len(starts)).tobytes()
-
-
-def wide_fingerprints(df: DataFrame, shingle: int, words: int, text: str, key: str) -> DataFrame:
-    """(key, fp): fp is binary."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(data[a:z], SEED) for a, z in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """The low bytes of the least shingle under each order."""
+    least = np.full(ORDERS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), 4096):
+            np.minimum(least, (shingles[at : at + 4096, None] * _MULTIPLIERS[None, :]).min(axis=0), out=least)
+    return least.astype(np.uint16).tobytes()
+
+
+def sketches(df: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
+    """(key, fp, n, sketch): fp is a digest of the set of shingles, n its size."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            fps = [wide_fingerprint(x, shingle, words) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["key", "fp"])
+            sets = [shingle_set(x, shingle) for x in batch.column(1).to_pylist()]
+            columns = [pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "fp", "n", "sketch"])
 
     chosen = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "key long, fp binary")
+    return chosen.mapInArrow(run, "key long, fp binary, n long, sketch binary")
 
 
-def _wide_forest(fps: np.ndarray, block: np.ndarray, first: int, limit: int, across: bool) -> list[tuple[int, int]]:
-    """Spanning edges of the links among rows of fps that agree in segment `first`."""
-    count = fps.shape[1]
-    turned = np.roll(fps, -first, axis=1)
-    # few chain lengths prune nearly all; the last one is the full distance
-    steps = [n for n in (LOOK_AHEAD, 8, 16) if n < count] + [count]
-    left = np.arange(len(fps))
+def _groups(batches: Iterator[pa.RecordBatch], names: int) -> Iterator[pa.Table]:
+    """The runs of rows that agree in their first `names` (whole-number) columns, if of two rows or more."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(names)]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [batch.num_rows]])
+        # single rows inside of a batch are groups of one
+        wanted = np.diff(cuts) > 1
+        wanted[[0, -1]] = True
+        for g in np.flatnonzero(wanted).tolist():
+            a, z = int(cuts[g]), int(cuts[g + 1])
+            name = tuple(c[a] for c in columns)
+            if name != last:
+                if sum(b.num_rows for b in held) > 1:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = name
+            held.append(batch.slice(a, z - a))
+    if sum(b.num_rows for b in held) > 1:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def _loose_forest(prints: np.ndarray, block: np.ndarray, across: bool) -> list[tuple[int, int]]:
+    """Spanning edges among rows of sketches that agree in LOOSE orders."""
+    left = np.arange(len(prints))
     edges: list[tuple[int, int]] = []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = left if not across else left[block[left] != block[at]]
-            done, differ = 0, np.zeros(len(near), np.int64)
-            for n in steps:
-                differ = differ + np.bitwise_count(turned[near, done:n] ^ turned[at, done:n]).sum(axis=1, dtype=np.int64)
-                fit = differ <= n * limit // count
-                near, differ, done = near[fit], differ[fit], n
-            if len(near):
-                edges += [(at, x) for x in near.tolist()]
-                queue += near.tolist()
-                left = np.setdiff1d(left, near, assume_unique=True)
+            near = (prints[left] == prints[at]).sum(axis=1) >= LOOSE
+            if across:
+                near &= block[left] != block[at]
+            if near.any():
+                found = left[near].tolist()
+                edges += [(at, x) for x in found]
+                queue += found
+                left = left[~near]
     return edges
 
 
-#: Groups up to this size are looked through batch-wise first: nearly all have no candidate.
-SMALL_GROUP = 8
-LOOK_AHEAD = 4
+def candidate_links(distinct: DataFrame, tile: int = 20_000) -> DataFrame:
+    """Spanning edges (u, v) of the candidate classes, from distinct (rep, sketch)."""
+    ship_package(distinct.sparkSession)
+    width = ROWS * ORDER_BYTES
+    number = lambda k: F.conv(F.hex(F.substring("sketch", k * width + 1, width)), 16, 10).cast("long")
+    keys = F.array(*[F.struct(F.lit(k).alias("kind"), number(k).alias("part")) for k in range(BANDS)])
+    rows = distinct.select("rep", "sketch", F.explode(keys).alias("k")).select("k.kind", "k.part", "rep", "sketch")
+    shared = rows.groupBy("kind", "part").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / F.lit(tile)).cast("int")
+    met = rows.join(shared, ["kind", "part"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = met.select("kind", "part", F.explode(_tiles()).alias("tile"), "rep", "sketch", "block")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            reps, block = group.column(3).to_numpy(), group.column(5).to_numpy()
+            prints = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint16).reshape(len(reps), ORDERS)
+            edges = _loose_forest(prints, block, bool(group.column(2)[0].as_py() >= 0 and len(np.unique(block)) > 1))
+            if edges:
+                u, v = np.array(edges).T
+                yield _edges(reps[u], reps[v])
 
-def _promising(kind: np.ndarray, fps: np.ndarray, group: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
-    """Which groups can have a link: larger ones, and those where some pair keeps the chain of LOOK_AHEAD segments."""
-    count = fps.shape[1]
-    ahead = np.take_along_axis(fps, (kind[:, None] + np.arange(LOOK_AHEAD)) % count, axis=1)
-    out = size > SMALL_GROUP
-    for lag in range(1, SMALL_GROUP):
-        at = np.flatnonzero(group[lag:] == group[:-lag])
-        at = at[~out[group[at]]]
-        if not len(at):
-            break
-        near = np.bitwise_count(ahead[at] ^ ahead[at + lag]).sum(axis=1, dtype=np.int64) <= LOOK_AHEAD * limit // count
-        out[group[at[near]]] = True
-    return out
+    return dealt.repartition("kind", "part", "tile").sortWithinPartitions("kind", "part", "tile").mapInArrow(run, "u long, v long")
 
 
-def _wide_search(limit: int):
-    def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        if table.num_rows < 2:
-            return
-        reps = table.column(4).to_numpy()
-        fps = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint16).reshape(table.num_rows, -1)
-        block = table.column(5).to_numpy()
-        edges = _wide_forest(fps, block, table.column(0)[0].as_py(), limit, bool(table.column(2)[0].as_py() >= 0 and len(np.unique(block)) > 1))
-        if edges:
-            u, v = np.array(edges).T
-            yield pa.RecordBatch.from_arrays([pa.array(reps[u]), pa.array(reps[v])], ["u", "v"])
+def _tiles() -> Column:
+    """Tiles of a row of `block` among `blocks`: -1 for a group of one block; else one for each pair of blocks, itself included."""
+    pair = lambda b: F.least(b, F.col("block")) * F.col("blocks") + F.greatest(b, F.col("block"))
+    return F.when(F.col("blocks") == 1, F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kind, part, tile = (batch.column(i).to_numpy() for i in range(3))
-            change = (kind[1:] != kind[:-1]) | (part[1:] != part[:-1]) | (tile[1:] != tile[:-1])
-            cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(kind)]])
-            # the first and last group of a batch may go on outside
-            size = np.diff(cuts)
-            fps = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(len(kind), -1)
-            wanted = _promising(kind, fps, np.repeat(np.arange(len(size)), size), size, limit)
-            wanted[[0, -1]] = True
-            look = np.flatnonzero(wanted)
-            for g in look.tolist():
-                a = int(cuts[g])
-                name = (kind[a], part[a], tile[a])
-                if name != last and held:
-                    yield from emit(held)
-                    held = []
-                last = name
-                held.append(batch.slice(a, int(size[g])))
-        if held:
-            yield from emit(held)
 
-    return run
+def similar_pairs(sets: list[np.ndarray], block: np.ndarray, across: bool, similarity: float) -> list[tuple[int, int]]:
+    """Spanning edges of the pairs of sets of Jaccard similarity `similarity` or more (of different blocks only, if `across`).
 
+    Two such sets share one of the rarest n - ceil(similarity * n) + 1 elements
+    of each, by any order common to both.
+    """
+    size = np.array([len(s) for s in sets])
+    of = np.repeat(np.arange(len(sets)), size)
+    names, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(names))
+    order = np.lexsort((rank[place], of))
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    prefix = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    kept = order[np.arange(len(order)) - first[of] < prefix[of]]
+    kept = kept[count[place[kept]] > 1]
+    kept = kept[np.argsort(place[kept], kind="stable")]
+    parent = np.arange(len(sets))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return int(x)
+
+    edges, tested = [], set()
+    cuts = np.flatnonzero(np.diff(place[kept])) + 1
+    for posting in np.split(of[kept], cuts):
+        left = posting.tolist()
+        while len(left) > 1 and len({root(x) for x in left}) > 1:
+            at = left.pop()
+            for x in left:
+                pair = (x, at) if x < at else (at, x)
+                if (across and block[x] == block[at]) or pair in tested or root(x) == root(at):
+                    continue
+                tested.add(pair)
+                if min(size[x], size[at]) < similarity * max(size[x], size[at]) - 1e-9:
+                    continue
+                shared = len(np.intersect1d(sets[x], sets[at], assume_unique=True))
+                if shared >= similarity * (size[x] + size[at] - shared) - 1e-9:
+                    parent[root(at)] = root(x)
+                    edges.append(pair)
+    return edges
 
-def wide_links(distinct: DataFrame, words: int, limit: int, tile: int = 20_000, broadcast_rows: int = 100_000) -> DataFrame:
-    """Spanning edges (u, v) between representatives, from distinct (fp, rep)."""
-    ship_package(distinct.sparkSession)
-    number = lambda k: F.conv(F.hex(F.substring("fp", k * SEGMENT_BYTES + 1, SEGMENT_BYTES)), 16, 10).cast("int")
-    keys = F.array(*[F.struct(F.lit(k).alias("kind"), number(k).alias("part")) for k in range(8 * words // SEGMENT_BYTES)])
-    # a class of like texts often shares most segments: counting per key meets at most as many rows as keys
-    rows = distinct.select("fp", "rep", F.posexplode(keys).alias("_", "k")).select("k.kind", "k.part", "fp", "rep")
-    hot = written(rows.select("kind", "part").groupBy("kind", "part").agg(F.count("*").alias("n")).where(F.col("n") > tile), "hot")
-    side = F.broadcast(hot) if hot.count() <= broadcast_rows else hot
-    blocks = F.coalesce(F.ceil(F.col("n") / F.lit(tile)), F.lit(1)).cast("int")
-    met = rows.join(side, ["kind", "part"], "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
-    tiles = F.when(F.col("blocks") == 1, F.array(F.lit(-1))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.least(b, F.col("block")) * F.col("blocks") + F.greatest(b, F.col("block")))
-    )
-    dealt = met.select("kind", "part", F.explode(tiles).alias("tile"), "fp", "rep", "block")
-    return dealt.repartition("kind", "part", "tile").sortWithinPartitions("kind", "part", "tile").mapInArrow(_wide_search(limit), "u long, v long")
+
+def exact_links(df: DataFrame, members: DataFrame, shingle: int, similarity: float, tile: int, text: str, key: str) -> DataFrame:
+    """Spanning edges (u, v) within candidate classes, from members (rep, fp, n, candidate)."""
+    ship_package(df.sparkSession)
+    texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
+    size = members.groupBy("candidate").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("rows") / F.lit(tile), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
+    placed = members.join(size, "candidate").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = placed.select("rep", "fp", "candidate", F.explode(_tiles()).alias("tile"), "block")
+    found = texts.join(placed.select("rep", "fp"), "rep")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            rows = [(i, f, s.tobytes()) for i, (t, f) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())) if xxhash.xxh128_digest((s := shingle_set(t, shingle)).tobytes()) == f]
+            at = pa.array([i for i, _, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]], ["rep", "fp", "shingles"])
+
+    # rows of the same id with other texts have other sets; repeated rows are one
+    sets = found.mapInArrow(hashed, "rep long, fp binary, shingles binary").dropDuplicates(["rep", "fp"])
+    grouped = sets.join(dealt, ["rep", "fp"]).select("candidate", "tile", "rep", "shingles", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 2):
+            reps, block = group.column(2).to_numpy(), group.column(4).to_numpy()
+            held = [np.frombuffer(x, np.uint64) for x in group.column(3).to_pylist()]
+            edges = similar_pairs(held, block, bool(group.column(1)[0].as_py() >= 0 and len(np.unique(block)) > 1), similarity)
+            if edges:
+                u, v = np.array(edges).T
+                yield _edges(reps[u], reps[v])
+
+    return grouped.repartition("candidate", "tile").sortWithinPartitions("candidate", "tile").mapInArrow(run, "u long, v long")
 
 
-def similar_documents(df: DataFrame, shingle: int = 5, words: int = 10, limit: int = 112, tile: int = 20_000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, component): classes of texts of similarity about 0.8 or more, by fingerprints of 64 * words bits.
+def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, tile: int = 20_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, component): components of the links between texts of Jaccard similarity `similarity` or more.
 
-    limit is the number of differing bits up to which texts are linked; 112
-    of 640 lie between what similarities of 0.8 (97) and 0.7 (123) leave on
-    average. Edge cases are as in near_duplicates.
+    Texts with the same set of shingles are one; texts without words have the
+    empty set. Other edge cases are as in near_duplicates.
     """
-    prints = written(wide_fingerprints(df, shingle, words, text, key), "fingerprints")
-    distinct = written(prints.where("key IS NOT NULL").groupBy("fp").agg(F.min("key").alias("rep")), "distinct")
-    merged = components(wide_links(distinct, words, limit, tile))
+    prints = written(sketches(df, shingle, text, key), "fingerprints")
+    distinct = written(prints.where("key IS NOT NULL").groupBy("fp").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "distinct")
+    candidates = components(candidate_links(distinct, tile)).withColumnRenamed("component", "candidate")
+    members = written(distinct.select("fp", "rep", "n").join(candidates, distinct["rep"] == candidates["node"]).select("rep", "fp", "n", "candidate"), "members")
+    merged = components(exact_links(df, members, shingle, similarity, tile, text, key))
     named = distinct.join(merged, distinct["rep"] == merged["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = prints.join(named, "fp", "left").select("key", F.when(F.col("key").isNotNull(), F.col("component")).alias("component"))
+    out = prints.select("key", "fp").join(named, "fp", "left").select("key", F.when(F.col("key").isNotNull(), F.col("component")).alias("component"))
     return out.withColumnRenamed("key", key)

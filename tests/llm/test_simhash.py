@@ -141,3 +141,21 @@ def test_similar_documents(spark):
         assert len(near) > 150 and sum(got[i] == got[j] for i, j in near) >= 0.97 * len(near)
         assert len({got[i] for i, o in enumerate(of) if o == -1}) == 1
     assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
+def test_similar_documents_are_those_of_the_exact_similarity(spark):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 9)))
+    texts = []
+    for _ in range(160):
+        w = [word() for _ in range(r.randint(60, 200))]
+        v = list(w)
+        for _ in range(max(1, round(len(v) * r.uniform(0.01, 0.045)))):
+            v[r.randrange(len(v))] = word()
+        texts += [" ".join(w), " ".join(v)]
+    near = {i for i in range(0, len(texts), 2) if jaccard(texts[i], texts[i + 1], 5) >= 0.8}
+    assert 40 < len(near) < 120
+    df = spark.createDataFrame([(i, t, "x", None, 1) for i, t in enumerate(texts)], SCHEMA)
+    for tile in (20_000, 1):
+        got = {x["doc_id"]: x["component"] for x in simhash.similar_documents(df, tile=tile).collect()}
+        assert got == {i: i - 1 if i % 2 and i - 1 in near else i for i in range(len(texts))}
