@@ -13,6 +13,12 @@ A document is contaminated by an item if consistent alignments cover at least
 its words aren't placeholders.  Items shorter than a window are matched by one
 window of their own length; those of under `least` words never match.
 
+With `capitals`, texts are judged in a second way too: there capitalised words that
+begin a sentence are names as well, so that it matters neither that a name begins a
+sentence nor what stands before a passage.  An item of one short window must then be
+found with the same values, since its first word can be all that tells it.
+Without `distinct_numbers`, different numbers may become equal ones.
+
 The benchmark's windows are broadcast if they are at most `broadcast_rows`
 (counted first), else shuffled.
 
@@ -72,76 +78,125 @@ def _typed_word(x: Column) -> Column:
     return x.isin(NUMBER, UNIT, NAME)
 
 
-def _shaped(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, shape, typed, hashes, words): template words, which are typed, their hashes, and raw words if any is."""
+def _shaped(df: DataFrame, key: str, text: str, capitals: bool = False) -> DataFrame:
+    """(key, shape, typed, hashes, words): template words, which are typed, their hashes, and raw words if any is.
+
+    With capitals, raw words always, and `opens`: which other words are capitalised.
+    """
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), _trimmed(F.col(text).cast("string")).alias("trimmed"))
     shaped = texts.select("key", "trimmed", template(F.col("trimmed")).alias("canonical"))
     counted = lambda x: F.when(x.isin(NUMBER_WORDS), NUMBER).otherwise(x)
     words = shaped.select("key", "trimmed", F.transform(raw_words(F.col("canonical")), counted).alias("shape"))
     # raw words are only needed for slots, and most windows have none
     marked = words.select("*", F.transform("shape", lambda x: x.startswith("\x01")).alias("typed"))
-    told = F.when(F.array_contains("typed", True), raw_words(F.col("trimmed")))
-    return marked.select("key", "shape", "typed", F.transform("shape", lambda x: F.xxhash64(x)).alias("hashes"), told.alias("words"))
+    told = F.when(F.array_contains("typed", True), raw_words(F.col("trimmed"))) if not capitals else raw_words(F.col("trimmed"))
+    out = marked.select("key", "shape", "typed", F.transform("shape", lambda x: F.xxhash64(x)).alias("hashes"), told.alias("words"))
+    if not capitals:
+        return out
+    return out.withColumn("opens", F.zip_with("shape", "words", lambda s, w: ~s.startswith("\x01") & (F.left(s, F.lit(1)) != F.left(w, F.lit(1)))))
+
+
+def _opened(shaped: DataFrame) -> DataFrame:
+    """shaped in the second way: capitalised words that begin a sentence are names."""
+    either = {
+        "shape": F.zip_with("shape", "opens", lambda x, o: F.when(o, NAME).otherwise(x)),
+        "typed": F.zip_with("typed", "opens", lambda x, o: x | o),
+        "hashes": F.zip_with("hashes", "opens", lambda x, o: F.when(o, F.xxhash64(F.lit(NAME))).otherwise(x)),
+    }
+    return shaped.withColumns(either)
+
+
+def _around(size: int) -> Column:
+    """Begins, from 0, of the windows that hold an opening capitalised word."""
+    last = F.size("hashes") - size
+    at = F.filter(F.transform("opens", lambda o, i: F.when(o, i)), lambda i: i.isNotNull() & (i - (size - 1) <= last))
+    spans = F.transform(at, lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, last)))
+    return F.when(last >= 0, F.array_distinct(F.flatten(spans))).otherwise(F.array().cast("array<int>"))
 
 
-def _windows(size: int) -> Column:
-    """(p, size, h, slots) of each window; slots are its typed words as written, null if there are none."""
+def _windows(size: int, begins: Column | None = None) -> Column:
+    """(p, size, h, slots) of each window, or of those with the begins; slots are its typed words as written, null if there are none."""
     holds = lambda p: F.array_contains(F.slice("typed", p, size), True)
 
     def slots(p: Column) -> Column:
         told = F.zip_with(F.slice("words", p, size), F.slice("typed", p, size), lambda x, y: F.when(y, F.lower(x)))
         return F.when(holds(p), F.array_join(told, "\x1f"))
 
+    def at(i: Column) -> Column:
+        return one(F.get("hashes", i), i)
+
     def one(x: Column, i: Column) -> Column:
         h = F.xxhash64(F.lit(size), x, *[F.get("hashes", i + k) for k in range(1, size)])
         return F.struct((i + 1).alias("p"), F.lit(size).alias("size"), h.alias("h"), F.when(F.col("words").isNotNull(), slots(i + 1)).alias("slots"))
 
+    if begins is not None:
+        return F.transform(begins, at)
     return F.transform(F.slice("hashes", 1, F.greatest(F.size("hashes") - (size - 1), F.lit(0))), one)
 
 
-def benchmark_windows(items: DataFrame, window: int = WINDOW, least: int = 4, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, q, size, h, item_slots, n_windows): usable windows, each template once per item."""
-    shaped = _shaped(items, key, text).withColumn("n", F.size("shape")).where(F.col("n") >= least)
+def benchmark_windows(items: DataFrame, window: int = WINDOW, least: int = 4, key: str = "item_id", text: str = "text", capitals: bool = False) -> DataFrame:
+    """(item_id, way, q, size, h, item_slots, n_windows): usable windows, each template once per item and way."""
+    shaped = _shaped(items, key, text, capitals).withColumn("n", F.size("shape")).where(F.col("n") >= least).withColumn("way", F.lit(1))
+    if capitals:
+        shaped = written(shaped, "items")
+        shaped = shaped.unionByName(_opened(shaped).withColumn("way", F.lit(2)))
     lengths = [F.when(F.col("n") == n, _windows(n)) for n in range(least, window)]
     own = F.coalesce(F.when(F.col("n") >= window, _windows(window)), *lengths)
-    tall = shaped.select("key", "shape", F.explode(own).alias("w"))
+    tall = shaped.select("key", "way", "shape", F.explode(own).alias("w"))
     plain = F.size(F.filter(F.slice("shape", F.col("w.p"), F.col("w.size")), lambda x: ~_typed_word(x)))
-    usable = tall.where(2 * plain >= F.col("w.size")).select(F.col("key").alias("item_id"), F.col("w.p").alias("q"), "w.size", "w.h", F.col("w.slots").alias("item_slots"))
-    once = usable.groupBy("item_id", "h", "size").agg(F.min(F.struct("q", "item_slots")).alias("r")).select("item_id", "r.q", "size", "h", "r.item_slots")
-    counts = once.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return once.join(counts, "item_id")
-
-
-def matches(docs: DataFrame, windows: DataFrame, sizes: list[int], small: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, item_id, shift, q, n_windows, item_slots, slots) of every window that matches."""
-    shaped = _shaped(docs, key, text)
-    # lengths other than the window's are those of short items: at most window - least of them
-    every = F.flatten(F.array(*[_windows(n) for n in sizes])) if len(sizes) > 1 else _windows(sizes[0])
-    tall = shaped.select("key", F.explode(every).alias("w")).select("key", F.col("w.p").alias("p"), F.col("w.h").alias("h"), F.col("w.size").alias("size"), F.col("w.slots").alias("slots"))
+    usable = tall.where(2 * plain >= F.col("w.size")).select(F.col("key").alias("item_id"), "way", F.col("w.p").alias("q"), "w.size", "w.h", F.col("w.slots").alias("item_slots"))
+    once = usable.groupBy("item_id", "way", "h", "size").agg(F.min(F.struct("q", "item_slots")).alias("r")).select("item_id", "way", "r.q", "size", "h", "r.item_slots")
+    counts = once.groupBy("item_id", "way").agg(F.count("*").alias("n_windows"))
+    return once.join(counts, ["item_id", "way"])
+
+
+def matches(docs: DataFrame, windows: DataFrame, sizes: list[int], small: bool, key: str = "doc_id", text: str = "text", capitals: bool = False) -> DataFrame:
+    """(key, item_id, way, shift, q, size, n_windows, item_slots, slots) of every window that matches."""
+    shaped = _shaped(docs, key, text, capitals)
+
+    def tall(rows: DataFrame, begins, way: int) -> DataFrame:
+        # lengths other than the window's are those of short items: at most window - least of them
+        every = F.flatten(F.array(*[_windows(n, begins(n)) for n in sizes])) if len(sizes) > 1 else _windows(sizes[0], begins(sizes[0]))
+        return rows.select("key", F.explode(every).alias("w")).select("key", F.col("w.p").alias("p"), F.col("w.h").alias("h"), F.col("w.size").alias("size"), F.col("w.slots").alias("slots"), F.lit(way).alias("doc_way"))
+
     side = F.broadcast(windows) if small else windows
-    return tall.join(side, ["h", "size"]).select("key", "item_id", (F.col("p") - F.col("q")).alias("shift"), "q", "n_windows", "item_slots", "slots")
+
+    def met(rows: DataFrame) -> DataFrame:
+        found = rows.join(side, ["h", "size"]).where("doc_way = 1 OR way = 2")
+        return found.select("key", "item_id", "way", (F.col("p") - F.col("q")).alias("shift"), "q", "size", "n_windows", "item_slots", "slots")
+
+    first = met(tall(shaped, lambda n: None, 1))
+    if not capitals:
+        return first
+    return first.unionByName(met(tall(_opened(shaped.where(F.array_contains("opens", True))), _around, 2)))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.5, least: int = 4, broadcast_rows: int = 500_000, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.5, least: int = 4, broadcast_rows: int = 500_000, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", capitals: bool = False, distinct_numbers: bool = True) -> DataFrame:
     """(key, item_id, hits, n_windows, same_values) of each document and item that contaminates it."""
-    known = written(benchmark_windows(items, window, least, item_key, item_text), "windows")
+    known = written(benchmark_windows(items, window, least, item_key, item_text, capitals), "windows")
     size = known.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
     sizes = sorted(size["sizes"] or [window])
-    met = written(matches(docs, known, sizes, size["n"] <= broadcast_rows, key, text), "matches")
-    aligned = met.groupBy("key", "item_id", "shift").agg(F.countDistinct("q").alias("hits"), F.max("n_windows").alias("n_windows"))
+    met = written(matches(docs, known, sizes, size["n"] <= broadcast_rows, key, text, capitals), "matches")
+    which = ["key", "item_id", "way", "shift"]
+    aligned = met.groupBy(*which).agg(F.countDistinct("q").alias("hits"), F.max("n_windows").alias("n_windows"), F.max("size").alias("size"))
     pairs = (
         met.where("slots IS NOT NULL")
-        .select("key", "item_id", "shift", F.explode(F.arrays_zip(F.split("item_slots", "\x1f").alias("a"), F.split("slots", "\x1f").alias("b"))).alias("z"))
-        .select("key", "item_id", "shift", "z.a", "z.b")
+        .select(*which, F.explode(F.arrays_zip(F.split("item_slots", "\x1f").alias("a"), F.split("slots", "\x1f").alias("b"))).alias("z"))
+        .select(*which, "z.a", "z.b")
         .distinct()
     )
-    by_a = pairs.groupBy("key", "item_id", "shift", "a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
-    forward = by_a.groupBy("key", "item_id", "shift").agg(F.max("n").alias("most"), F.count("*").alias("n_a"), F.bool_and(F.col("a") == F.col("b")).alias("same"))
-    backward = pairs.select("key", "item_id", "shift", "b").distinct().groupBy("key", "item_id", "shift").agg(F.count("*").alias("n_b"))
-    slots = forward.join(backward, ["key", "item_id", "shift"]).withColumn("consistent", (F.col("most") == 1) & (F.col("n_a") == F.col("n_b")))
-    judged = aligned.join(slots.select("key", "item_id", "shift", "consistent", "same"), ["key", "item_id", "shift"], "left").where("coalesce(consistent, true)")
-    found = judged.groupBy("key", "item_id").agg(F.sum("hits").cast("long").alias("hits"), F.max("n_windows").alias("n_windows"), F.bool_and(F.coalesce("same", F.lit(True))).alias("same_values"))
-    return found.where(F.col("hits") >= F.ceil(F.col("n_windows") * F.lit(share))).withColumnRenamed("key", key)
+    # each value of the item becomes one value; of these, different ones become different ones
+    apart = F.lit(True) if distinct_numbers else ~(F.col("a").rlike(r"^[$+\-]?[0-9]") | F.col("a").isin(NUMBER_WORDS))
+    by_a = pairs.groupBy(*which, "a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
+    forward = by_a.groupBy(*which).agg(F.max("n").alias("most"), F.count(F.when(apart, 1)).alias("n_a"), F.bool_and(F.col("a") == F.col("b")).alias("same"))
+    backward = pairs.where(apart).select(*which, "b").distinct().groupBy(*which).agg(F.count("*").alias("n_b"))
+    slots = forward.join(backward, which, "left").withColumn("consistent", (F.col("most") == 1) & (F.col("n_a") == F.coalesce("n_b", F.lit(0))))
+    judged = aligned.join(slots.select(*which, "consistent", "same"), which, "left").where("coalesce(consistent, true)")
+    judged = judged.where((F.col("way") == 1) | (F.col("size") >= window) | F.coalesce("same", F.lit(True)))
+    found = judged.groupBy("key", "item_id", "way").agg(F.sum("hits").cast("long").alias("hits"), F.max("n_windows").alias("n_windows"), F.bool_and(F.coalesce("same", F.lit(True))).alias("same_values"))
+    enough = found.where(F.col("hits") >= F.ceil(F.col("n_windows") * F.lit(share)))
+    best = enough.groupBy("key", "item_id").agg(F.max_by(F.struct("hits", "n_windows", "same_values"), F.struct("hits", (-F.col("way")).alias("w"))).alias("r"))
+    return best.select(F.col("key").alias(key), "item_id", "r.hits", "r.n_windows", "r.same_values")
 
 
 def flagged(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:

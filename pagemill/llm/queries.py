@@ -28,7 +28,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return decontaminate.flagged(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.flagged(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), capitals=True, distinct_numbers=False))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

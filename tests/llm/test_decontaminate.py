@@ -142,3 +142,17 @@ def test_equals_brute_force(spark):
     df = spark.createDataFrame([(*d, "x", 0, "k") for d in docs], DOCS)
     found = D.contamination(df, spark.createDataFrame([(*i, 0, 0) for i in items], ITEMS)).collect()
     assert {(f["doc_id"], f["item_id"]): f["hits"] for f in found} == want
+
+
+WHOLE = {"capitals": True, "distinct_numbers": False}
+WORD_PROBLEM = "Tom has 5 apples and 3 pears. Tom gives Ann 2 apples. How many fruits does Tom have now?"
+
+
+def test_names_that_begin_a_sentence_and_numbers_that_become_equal(spark):
+    renamed = WORD_PROBLEM.replace("Tom", "Bob").replace("5", "7")
+    equal = WORD_PROBLEM.replace("5", "4").replace("3", "4")
+    docs = [(i, t, "", 0, "") for i, t in enumerate([renamed, equal, INCONSISTENT, "Some words: " + renamed, WORD_PROBLEM.lower()])]
+    got, _ = run(spark, docs, [(1, WORD_PROBLEM, 0, 0), (2, A, 0, 0)], **WHOLE)
+    assert [got[i]["contaminated"] for i in range(4)] == [True, True, False, True]
+    old, _ = run(spark, docs, [(1, WORD_PROBLEM, 0, 0)])
+    assert all(got[i]["contaminated"] for i in old if old[i]["contaminated"])
