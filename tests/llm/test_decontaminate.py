@@ -156,3 +156,12 @@ def test_names_that_begin_a_sentence_and_numbers_that_become_equal(spark):
     assert [got[i]["contaminated"] for i in range(4)] == [True, True, False, True]
     old, _ = run(spark, docs, [(1, WORD_PROBLEM, 0, 0)])
     assert all(got[i]["contaminated"] for i in old if old[i]["contaminated"])
+
+
+def test_what_stands_before_an_item_does_not_matter(spark):
+    item = "Which planet is the largest?"
+    before = ["Question: ", "Quiz\n", "", "They asked. ", "so they asked "]
+    docs = [(i, b + item + " Nobody knew.", "", 0, "") for i, b in enumerate(before)]
+    docs += [(10, "asked which planet is the largest", "", 0, ""), (11, "Quiz\nEvery planet is the largest", "", 0, "")]
+    got, _ = run(spark, docs, [(1, item, 0, 0), (2, A, 0, 0)], **WHOLE)
+    assert {i for i, r in got.items() if r["contaminated"]} == {0, 1, 2, 3, 4, 10}
