@@ -35,6 +35,11 @@ PATTERNS = {
     "card": r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
     "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z\-])",
 }
+# a card's number doesn't run on into another value after a blank
+_OTHER = "|".join(PATTERNS[k] for k in ("ssn", "date", "ipv4"))
+PATTERNS["card"] = rf"[0-9](?:(?:[ \-](?!{_OTHER}))?[0-9]){{12,18}}(?![0-9A-Za-z])"
+#: Lengths of card numbers in the order they are looked for inside a longer match.
+CARD_LENGTHS = (16, 15, 13, 19, 14)
 ANY = r"(?<![A-Za-z0-9_@+])(?=[A-Za-z0-9(+])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Fixed values of the calendar: 400 years of the Gregorian calendar have 146097 = 27 * 5411 days.
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1800-01-01", 27, 5411
@@ -127,7 +132,34 @@ def _luhn_sum(digits: Column, doubled_from_right: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
 
 
+def _inner_card(match: Column) -> Column:
+    """Struct (rank, s, n) of the valid number inside a match, between ends of its groups of digits; null if there is none."""
+    places = F.sequence(F.lit(1), F.length(match))
+    digit = lambda p: F.substr(match, p, F.lit(1)).between("0", "9")
+    starts = F.filter(places, lambda p: digit(p) & ((p == 1) | ~digit(p - 1)))
+    ends = F.filter(places, lambda p: digit(p) & ((p == F.length(match)) | ~digit(p + 1)))
+
+    def piece(s: Column, e: Column) -> Column:
+        d = _digits(F.substr(match, s, F.greatest(e - s + 1, F.lit(0))))
+        rank = F.array_position(F.lit(list(CARD_LENGTHS)), F.length(d))
+        valid = (rank > 0) & (F.pmod(_luhn_sum(d, 1), F.lit(10)) == 0)
+        return F.when(valid, F.struct(rank.alias("rank"), s.alias("s"), (e - s + 1).alias("n")))
+
+    return F.array_min(F.flatten(F.transform(starts, lambda s: F.transform(ends, lambda e: piece(s, e)))))
+
+
 def _card(match: Column, key: str) -> Column:
+    """The match with the valid number in it changed: all of it, else the first inner one."""
+
+    def inner(c: Column) -> Column:
+        number = _whole_card(F.substr(match, c["s"], c["n"]), key)
+        return F.when(c.isNull(), match).otherwise(F.concat(F.substr(match, F.lit(1), c["s"] - 1), number, F.substr(match, c["s"] + c["n"])))
+
+    valid = F.pmod(_luhn_sum(_digits(match), 1), F.lit(10)) == 0
+    return F.when(valid, _whole_card(match, key)).otherwise(_once(_inner_card(match), inner))
+
+
+def _whole_card(match: Column, key: str) -> Column:
     def changed(d: Column) -> Column:
         n = F.length(d)
         body = F.concat(F.substr(d, F.lit(1), F.lit(1)), feistel_text(F.substr(d, F.lit(2), n - 2), "card", key))
@@ -167,7 +199,19 @@ def _date(match: Column, key: str) -> Column:
         moved = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(day, DAYS_HIGH, DAYS_LOW, "date", key).cast("int"))
         return F.when(parsed.isNull() | ~day.between(0, DAYS_HIGH * DAYS_LOW - 1), match).otherwise(F.date_format(moved, form))
 
-    return F.when(F.substr(match, F.lit(5), F.lit(1)) == "-", changed("yyyy-MM-dd")).otherwise(changed("dd/MM/yyyy"))
+    def month_first() -> Column:
+        # these have days over 12 and are moved among themselves, so that none gets the pseudonym of a day-first date
+        form = "MM/dd/yyyy"
+        parsed = F.try_to_date(match, form)
+        first = F.lit(FIRST_DAY).cast("date")
+        turned = lambda v: feistel_number(v, DAYS_HIGH, DAYS_LOW, "date", key)
+        late = lambda v: F.dayofmonth(F.date_add(first, v.cast("int"))) > 12
+        day = F.date_diff(parsed, first).cast("long")
+        moved = F.aggregate(F.sequence(F.lit(1), F.lit(100)), turned(day), lambda v, _: F.when(late(v), v).otherwise(turned(v)))
+        return F.when(parsed.isNull() | ~day.between(0, DAYS_HIGH * DAYS_LOW - 1), match).otherwise(F.date_format(F.date_add(first, moved.cast("int")), form))
+
+    slashed = F.when(F.try_to_date(match, "dd/MM/yyyy").isNotNull(), changed("dd/MM/yyyy")).otherwise(month_first())
+    return F.when(F.substr(match, F.lit(5), F.lit(1)) == "-", changed("yyyy-MM-dd")).otherwise(slashed)
 
 
 def _secret(match: Column, key: str) -> Column:

@@ -119,3 +119,26 @@ def test_the_key_inverts_pseudonyms(spark):
     assert ["password=" + inverse(x[9:], "secret", True) for x in new[60:80]] == secrets
     assert ["+1" + inverse(x[2:], "phone") for x in new[80:]] == phones
     assert sum(a == b for a, b in zip(new, mails + keys + secrets + phones)) <= 2
+
+
+def test_cards_inside_longer_digits_and_month_first_dates(spark):
+    texts = [
+        "card 4111111111111111 123 end",
+        "4111 1111 1111 1111 12/27",
+        "123 4111-1111-1111-1111",
+        "4111111111111111 123-45-6789",
+        "4111111111111111 12/31/1999",
+        "born 03/25/1985, 13/13/1985",
+        "4111-1111-1111-1112 123",
+    ]
+    got = one(spark, texts)
+    plain = one(spark, ["4111111111111111", "123-45-6789", "12/31/1999"])
+    number, ssn, date = (x for x, _ in plain)
+    parts = [number[i : i + 4] for i in range(0, 16, 4)]
+    assert luhn(number) and number != "4111111111111111"
+    assert got[0] == (f"card {number} 123 end", 1) and got[1] == (" ".join(parts) + " 12/27", 1) and got[2] == ("123 " + "-".join(parts), 1)
+    assert got[3] == (f"{number} {ssn}", 2) and got[4] == (f"{number} {date}", 2)
+    assert got[5][1] == 1 and got[5][0].endswith(", 13/13/1985") and got[5][0][5:15] != "03/25/1985" and got[6] == (texts[6], 0)
+    days = [datetime.date(1985, m, d).strftime("%m/%d/%Y") for m in range(1, 13) for d in range(13, 29)]
+    new = [x for x, n in one(spark, days)]
+    assert len(set(new)) == len(days) and all(datetime.datetime.strptime(x, "%m/%d/%Y").day > 12 for x in new)
