@@ -40,6 +40,7 @@ _OTHER = "|".join(PATTERNS[k] for k in ("ssn", "date", "ipv4"))
 PATTERNS["card"] = rf"[0-9](?:(?:[ \-](?!{_OTHER}))?[0-9]){{12,18}}(?![0-9A-Za-z])"
 #: Lengths of card numbers in the order they are looked for inside a longer match.
 CARD_LENGTHS = (16, 15, 13, 19, 14)
+MAY_HOLD = r"[0-9@]|AKIA|(?i:password|passwd|secret|token|api_key)\s{0,3}[=:]"
 ANY = r"(?<![A-Za-z0-9_@+])(?=[A-Za-z0-9(+])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Fixed values of the calendar: 400 years of the Gregorian calendar have 146097 = 27 * 5411 days.
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1800-01-01", 27, 5411
@@ -261,8 +262,8 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
         return F.struct(F.array_join(pieces, "").alias("text"), replaced.cast("long").alias("n_replaced"))
 
     untouched = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_replaced"))
-    # nearly all texts have no digit and no @: they aren't searched any further
-    return F.when(text.rlike("[0-9@]") & (F.size(found) > 0), _once(changed, joined)).otherwise(untouched)
+    # every pattern needs one of these; texts without aren't searched any further
+    return F.when(text.rlike(MAY_HOLD) & (F.size(found) > 0), _once(changed, joined)).otherwise(untouched)
 
 
 def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
