@@ -41,7 +41,7 @@ class Engine:
         files, refused = ingest.scan(self.spark, path, self.settings)
         pages, broken = ingest.extract(files, self.pdf_pages)
         pages = written(pages, "pages")
-        paged = pages.where("page_number IS NOT NULL AND NOT (has_image AND raw_text = '')").select("document_name", "page_number", "raw_text", "has_image")
+        paged = pages.where("page_number IS NOT NULL").where(T.extension(F.col("document_name")) == ".pdf").select("document_name", "page_number", "raw_text", "has_image")
         routed = written(layout.route_pages(paged, self.settings), "routed")
         budget = layout.ocr_budget(routed, self.settings).where("over_budget").select("document_name")
         over = budget.select(F.lit(None).cast("string").alias("path"), "document_name", F.lit(f"more than {self.settings.max_ocr_pages} pages need recognition").alias("error"))
@@ -50,8 +50,11 @@ class Engine:
         texts = chunking.chunk_texts(digital.unionByName(plain), ["document_name", "page_number", "extraction_method"], "text", self.settings)
         chunks = texts.select("document_name", "page_number", F.lit("digital_text").alias("content_type"), "extraction_method", "position", "text", F.lit(None).cast("double").alias("ocr_confidence"))
         kept = digital.unionByName(plain).select("document_name", "page_number", F.lit("digital_text").alias("content_type"), "extraction_method")
+        scans = routed.where("route = 'ocr'").join(budget, "document_name", "left_anti").select("document_name", "page_number")
+        lost = scans
         if self.recogniser is not None:
-            lines = written(self._recognised(path), "lines")
+            lines = written(self._recognised(path).unionByName(self._recognised_scans(files, scans)), "lines")
+            lost = scans.join(lines.select("document_name", "page_number"), ["document_name", "page_number"], "left_anti")
             packed = chunking.chunk_lines(lines, ["document_name", "page_number"], "lines", self.settings)
             chunks = chunks.unionByName(packed.select("document_name", "page_number", F.lit("handwritten_ocr").alias("content_type"), F.lit("trocr").alias("extraction_method"), "position", "text", "ocr_confidence"))
             kept = kept.unionByName(lines.select("document_name", "page_number", F.lit("handwritten_ocr").alias("content_type"), F.lit("trocr").alias("extraction_method")))
@@ -66,7 +69,8 @@ class Engine:
         names = files.select("document_name").distinct()
         empty = names.join(records.select("document_name").distinct(), "document_name", "left_anti").join(broken.unionByName(over).select("document_name").distinct(), "document_name", "left_anti")
         silent = empty.select(F.lit(None).cast("string").alias("path"), "document_name", F.lit("No readable text found in this document.").alias("error"))
-        return summary, refused.unionByName(broken).unionByName(over).unionByName(silent)
+        unread = lost.select(F.lit(None).cast("string").alias("path"), "document_name", F.format_string("page %d needs recognition", "page_number").alias("error"))
+        return summary, refused.unionByName(broken).unionByName(over).unionByName(unread).unionByName(silent)
 
     def _recognised(self, path: str) -> DataFrame:
         """(document_name, page_number, lines, confidence) of image files."""
@@ -74,6 +78,13 @@ class Engine:
         found = imaging.recognise(imaging.image_lines(images), self.recogniser, self.settings.recognizer_batch)
         return found.select(T.base_name(F.col("path")).alias("document_name"), F.lit(1).alias("page_number"), "lines", F.round(line_confidence(F.col("lines")), 4).alias("confidence"))
 
+    def _recognised_scans(self, files: DataFrame, scans: DataFrame) -> DataFrame:
+        """(document_name, page_number, lines, confidence) of the scans whose image the PDF reader gives."""
+        images = ingest.page_images(files, scans, self.pdf_pages)
+        found = imaging.recognise(imaging.image_lines(images), self.recogniser, self.settings.recognizer_batch)
+        name = F.split("path", "\x1f")
+        return found.select(name[0].alias("document_name"), name[1].cast("int").alias("page_number"), "lines", F.round(line_confidence(F.col("lines")), 4).alias("confidence"))
+
     def evidence(self, questions: DataFrame) -> DataFrame:
         """(query_id, question, sources) from (query_id, question, document_name): overviews for whole-document requests, else ranked chunks."""
         chunks = self.store.chunks()

@@ -87,7 +87,8 @@ def extract(files: DataFrame, pdf_pages=None) -> tuple[DataFrame, DataFrame]:
     """(pages, rejects) of files (path, document_name, reader, content).
 
     Plain text drops bytes that aren't UTF-8. pdf_pages(content) gives
-    (page_number, text, has_image) per page; without it PDFs are rejected.
+    (page_number, text, has_image) per page, and may give the page's image, an
+    array (height, width, channels) of bytes, as a fourth; without it PDFs are rejected.
     Images are left to the recogniser: one page each, no text.
     """
     ship_package(files.sparkSession)
@@ -102,7 +103,7 @@ def extract(files: DataFrame, pdf_pages=None) -> tuple[DataFrame, DataFrame]:
                 try:
                     if pdf_pages is None:
                         raise ValueError("no PDF reader is plugged in")
-                    rows = [(n, t, i, None) for n, t, i in pdf_pages(content)]
+                    rows = [(*r[:3], None) for r in pdf_pages(content)]
                 except Exception as e:
                     rows = [(None, None, False, f"Could not open this PDF: {e}")]
                 number, text, image, error = zip(*rows) if rows else ((), (), (), ())
@@ -113,3 +114,22 @@ def extract(files: DataFrame, pdf_pages=None) -> tuple[DataFrame, DataFrame]:
     images = cols.where("reader = 'image'").select("path", "document_name", F.lit(1).alias("page_number"), F.lit("").alias("raw_text"), F.lit(True).alias("has_image"), F.lit(None).cast("string").alias("error"))
     every = plain.unionByName(docx).unionByName(pdfs).unionByName(images)
     return every.where("error IS NULL").drop("error"), every.where("error IS NOT NULL").select("path", "document_name", "error")
+
+
+def page_images(files: DataFrame, wanted: DataFrame, pdf_pages) -> DataFrame:
+    """(image) of the wanted (document_name, page_number) that pdf_pages gives an image of, as Spark's image source has it; origin is name, \\x1f, page."""
+    ship_package(files.sparkSession)
+    numbers = wanted.groupBy("document_name").agg(F.collect_set("page_number").alias("numbers"))
+    chosen = files.where(F.col("reader") == "pdf").select("document_name", "content").join(numbers, "document_name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content, pages in zip(*(c.to_pylist() for c in batch.columns)):
+                for row in pdf_pages(content):
+                    if row[0] in pages and len(row) > 3 and row[3] is not None:
+                        height, width, channels = row[3].shape
+                        columns = [pa.array([f"{name}\x1f{row[0]}"]), *[pa.array([n], pa.int32()) for n in (height, width, channels)], pa.array([row[3].tobytes()], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, ["origin", "height", "width", "nChannels", "data"])
+
+    found = chosen.mapInArrow(run, "origin string, height int, width int, nChannels int, data binary")
+    return found.select(F.struct("origin", "height", "width", "nChannels", "data").alias("image"))

@@ -254,3 +254,28 @@ def test_chat_endpoint(spark):
     claims = spark.createDataFrame([(0, "the sky [S1]", source), (1, "the sea [S1]", source)], "pos int, claim string, sources array<struct<text:string,filename:string,page_number:int,content_type:string>>")
     assert [r["pos"] for r in providers.verified_claims(claims, providers.ChatVerifier(chat), Settings()).collect()] == [0]
     server.shutdown()
+
+
+class ScannedPdf:
+    """Pages of '#' are scans of three dark lines, without an image if it is '#-'."""
+
+    def __call__(self, content):
+        paper = np.full((900, 700, 1), 255, np.uint8)
+        for y in (100, 400, 700):
+            paper[y : y + 60, 80:600] = 0
+        for i, t in enumerate(content.decode().split("\f")[1:], 1):
+            yield (i, "", True, paper if t == "#" else None) if t.startswith("#") else (i, t, False)
+
+
+def test_scans_inside_pdfs_are_recognised_or_reported(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    text = [f"This page, numbered {i}, speaks of water and of weirs in some detail." for i in range(5)]
+    (tmp_path / "in" / "mixed.pdf").write_bytes("\f".join(["%PDF", *text, *"####", "#-"]).encode())
+    (tmp_path / "in" / "long.pdf").write_bytes("\f".join(["%PDF", *text, *"#" * 41]).encode())
+    for name, recogniser, lost in (("a", None, range(6, 11)), ("b", Ink(), [10])):
+        engine = Engine(spark, f"{tmp_path}/{name}", recogniser=recogniser, pdf_pages=ScannedPdf())
+        summary, rejects = engine.ingest(f"{tmp_path}/in")
+        errors = {(r["document_name"], r["error"]) for r in rejects.collect()}
+        assert errors == {("mixed.pdf", f"page {n} needs recognition") for n in lost} | {("long.pdf", "more than 40 pages need recognition")}
+        pages = {r["page_number"] for r in engine.store.chunks().where("filename = 'mixed.pdf'").collect()}
+        assert pages == set(range(1, 11)) - set(lost)
