@@ -6,7 +6,8 @@ gated attention, learned from document labels only, weighs the passages, and a
 logistic layer scores the weighted sum.
 
 The model is fitted on the driver to at most `sample` labelled documents (those
-of least hash of the id), of each at most `passages` evenly spread passages;
+of least hash of the id), each whole: while all have `sample` * `passages`
+passages at most, so that long texts make the rows fewer, never shorter;
 scoring reads every passage of every document.  Inputs of a score are the text
 alone.
 
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from pagemill.llm import anchors as A
 from pagemill.llm.simhash import small_batches
-from pagemill.runtime import ship_package
+from pagemill.runtime import ship_package, written
 
 PASSAGE_WORDS = 96
 BUCKETS = 48
@@ -160,7 +161,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, passages: int = 64, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model:
-    """Fit to a bounded sample of the labelled documents that aren't held out."""
+    """Fit to a bounded sample of the labelled documents that aren't held out: whole ones, of sample * passages passages in all."""
     ship_package(docs.sparkSession)
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
     chosen = usable.groupBy(F.col(key).cast("long").alias("k")).agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
@@ -169,13 +170,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, passages: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x in batch.column(2).to_pylist():
-                f = passage_features(x)
-                rows.append(f[np.unique(np.linspace(0, len(f) - 1, min(len(f), passages)).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["k", "y", "f"])
-
-    rows = {r["k"]: (r["y"], r["f"]) for r in texts.mapInArrow(run, "k long, y int, f binary").collect()}
+            found = [passage_features(x) for x in batch.column(2).to_pylist()]
+            counts, rows = pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, rows], ["k", "y", "n", "f"])
+
+    bags = written(texts.mapInArrow(run, "k long, y int, n long, f binary"), "bags")
+    sizes = bags.groupBy("k").agg(F.max("n").alias("n")).orderBy(F.xxhash64("k"), "k").collect()
+    total = np.cumsum([r["n"] for r in sizes])
+    used = [r["k"] for r, t in zip(sizes, total.tolist()) if t <= max(sample * passages, sizes[0]["n"])]
+    rows = {r["k"]: (r["y"], r["f"]) for r in bags.where(F.col("k").isin(used)).select("k", "y", "f").collect()}
     ordered = [rows[k] for k in sorted(rows)]
     bags = [np.frombuffer(bytes(f), np.float32).reshape(-1, WIDTH) for _, f in ordered]
     return fit(bags, np.array([y for y, _ in ordered], np.float64))

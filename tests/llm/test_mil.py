@@ -61,3 +61,14 @@ def test_without_labels_or_rows(spark):
     one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert 0.5 <= mil.score(docs, mil.train(docs, one)).first()["score"] <= 1
     assert mil.score(docs.limit(0), mil.train(docs, none)).count() == 0
+
+
+def test_training_keeps_every_passage_of_a_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mil, "fit", lambda bags, labels: seen.append([len(b) for b in bags]))
+    keys = [r["doc_id"] for r in spark.range(20).withColumnRenamed("id", "doc_id").where(~mil.held_out()).collect()][:3]
+    docs = spark.createDataFrame([(k, "word " * (96 * n)) for k, n in zip(keys, (100, 3, 70))], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, i % 2) for i, k in enumerate(keys)], "doc_id long, quality int")
+    mil.train(docs, labels)
+    mil.train(docs, labels, sample=3, passages=40)
+    assert seen[0] == [100, 3, 70] and sum(seen[1]) <= 120 and set(seen[1]) <= {100, 3, 70}
