@@ -1,207 +1,166 @@
 """Benchmark decontamination by typed templates, in DataFrame operations only.
 
 A text's words are made canonical: punctuation at the ends goes, letters are
-lowered, and numbers, units after numbers, and names (capitalised words that do
-not begin a sentence) become typed placeholders.  Windows of `window` template
-words are joined with the benchmark's by hash.  A document's windows that match
-an item at one displacement are aligned, and their slots (the words behind the
-placeholders) are compared: the item's values and the document's must map one to
-one.  Then the document has the question, be it with other parameters.
-
-A document is contaminated by an item if consistent alignments cover at least
-`share` of the item's usable windows.  A window is usable if at least half of
-its words aren't placeholders.  Items shorter than a window are matched by one
-window of their own length; those of under `least` words never match.
-
-With `capitals`, texts are judged in a second way too: there capitalised words that
-begin a sentence are names as well, so that it matters neither that a name begins a
-sentence nor what stands before a passage.  An item of one short window must then be
-found with the same values, since its first word can be all that tells it.
-Without `distinct_numbers`, different numbers may become equal ones.
-
-The benchmark's windows are broadcast if they are at most `broadcast_rows`
-(counted first), else shuffled.
+lowered, and numbers, units after numbers, and names become typed placeholders.
+A name is a capitalised word that isn't one of OPENERS, wherever it stands, so that
+neither the begin of a sentence nor what precedes a passage changes a template.
+
+1. Windows of `window` template words are joined with the benchmark's distinct
+   window hashes; what meets is a hit (document, place, hash), without an item.
+2. An item must have `share` of its windows in a document, so one of its rarest
+   few is among the hits.  Only these make candidates (document, item): a template
+   that many items share doesn't pair every document with all of them.
+3. Candidates get all their windows at all places.  Windows at one displacement are
+   aligned, and their slots (the words behind the placeholders) are compared: each
+   value of the item must become one value, and different names and units different
+   ones; different numbers may become equal.  Consistent alignments count.
+
+An item's windows are those with at least as many plain words as placeholders.
+Items without any use all windows, and need the same values.  An item shorter than a
+window is one window of its own length, and needs the same names (the same values, if
+it is mostly placeholders).  Of under `least` words, it must be the whole text.
+
+Windows of the benchmark are broadcast if they are at most `broadcast_rows` (counted
+first), else shuffled.
 
 Defined results: a null text has no words; rows with a null key are never
-contaminated; repeated documents are judged alike; of repeated items the smallest
-id is named; columns other than the keys and texts aren't looked at.
+contaminated; repeated documents are judged alike, different texts under one key each
+by itself; of repeated items the smallest id is named; an empty benchmark contaminates
+nothing; columns other than the keys and texts aren't looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.runtime import written
+from pagemill.runtime import small_side, written
 
 WINDOW = 8
-#: Unit words that make a placeholder after a number, and number words.
+#: Unit words that make a placeholder after a number, number words, and capitalised words that are no names.
 UNITS = "mm cm m km ft yd mi mg g kg t oz lb lbs ml cl l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years % percent usd eur gbp dollar dollars euro euros pound pounds cent cents meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres inch inches foot feet mile miles mph kmh hz kb mb gb tb".split()
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
-EDGES = ".,;:!?\"'()[]{}<>“”‘’«»…"
-SPACES = " \t\n\x0b\x0c\r"
-#: Placeholders of numbers, units and names; no text word has the first character at its begin.
+OPENERS = "a an the this that these those what which who whose why how when where if in on at of for to from with by and or but not is are was were do does did can could will would should has have had it he she they we you all each every some any no there then find given suppose let".split()
+#: Placeholders of numbers, units and names; the value follows. No text word has the first character.
 NUMBER, UNIT, NAME = "\x01n", "\x01u", "\x01p"
-_EDGE = "".join("\\" + c if c in ".?()[]{}<>!" else c for c in EDGES)
-_BEGIN = rf"(?<![^{SPACES}(\[\"'“‘«])"
-_END = rf"(?=[{_EDGE}]*(?:[{SPACES}]|$))"
-#: A capital in a word whose predecessor doesn't end a sentence, closing marks aside.
-#: In each pattern the cheapest test of a place stands first: most places fail it.
-_NAME = rf"(?=[\"'(\[“‘«\p{{Lu}}])(?<=[{SPACES}])(?=[\"'(\[“‘«]*\p{{Lu}})(?<=[^.!?{SPACES}\"')\]”’»][\"')\]”’»]{{0,2}}[{SPACES}]{{1,3}})[^{SPACES}]*?{_END}"
-_NUMBER = rf"(?=[$+\-0-9]){_BEGIN}[$+\-]?[0-9][0-9.,/:]*?%?{_END}"
-_UNIT = rf"{NUMBER}([{SPACES}]+)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))}){_END}"
-_SPLIT = rf"[{_EDGE}]*[{SPACES}][{_EDGE}{SPACES}]*"
+#: Each pattern begins with the cheapest test of a place, which most places fail. After the first, words are parted by blanks only.
+_BREAK = r"[\x01\t-\r!?;\"()\[\]{}<>“”«»…]|[.,:]+(?![0-9])"
+_NAME = r"(?=\p{Lu})(?<![^ ])(?!(?i:" + "|".join(OPENERS) + r")(?: |$))[^ ]+"
+_NUMBER = r"(?=[$+\-0-9])(?<![^ ])[$+\-]?[0-9][0-9.,/:]*%?(?= |$)"
+_UNIT = rf"({NUMBER}[^ ]+ +)({'|'.join(sorted(UNITS, key=len, reverse=True))})(?= |$)"
 
 
-def _trimmed(text: Column) -> Column:
-    return F.btrim(F.replace(F.coalesce(text, F.lit("")), F.lit("\x01"), F.lit(" ")), F.lit(EDGES + SPACES))
+def words(text: Column) -> Column:
+    """Canonical words: lower case, typed ones behind their placeholder; number words are typed by `_kind`."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), _BREAK, " ")
+    for mark in "'‘’":
+        out = F.replace(out, F.lit(mark), F.lit(""))
+    for pattern, made in ((_NAME, f"{NAME}$0"), (_NUMBER, f"{NUMBER}$0"), (rf"(?i){_UNIT}", f"$1{UNIT}$2"), (" {2,}", " ")):
+        out = F.regexp_replace(out, pattern, made)
+    out = F.lower(F.btrim(out))
+    return F.when(F.length(out) == 0, F.array().cast("array<string>")).otherwise(F.split(out, " "))
 
 
-def raw_words(trimmed: Column) -> Column:
-    """The words of a trimmed text, without punctuation at their ends; as many as its template has."""
-    return F.filter(F.split(trimmed, _SPLIT), lambda x: x != "")
+def _kind(word: Column) -> Column:
+    """A word as its template has it."""
+    return F.when(word.isin(NUMBER_WORDS), NUMBER).when(word.startswith("\x01"), F.left(word, F.lit(2))).otherwise(word)
 
 
-def template(trimmed: Column) -> Column:
-    """Canonical text: placeholders for typed words, the rest in lower case.
+def _slots(tokens: Column) -> Column:
+    return F.filter(tokens, lambda x: x.startswith("\x01") | x.isin(NUMBER_WORDS))
+
+
+def _window_hashes(hashes: str, size: int) -> Column:
+    """The hash of each window of `size` words, by its begin."""
+    begins = F.slice(hashes, 1, F.greatest(F.size(hashes) - (size - 1), F.lit(0)))
+    return F.transform(begins, lambda x, i: F.xxhash64(F.lit(size), x, *[F.get(hashes, i + k) for k in range(1, size)]))
 
-    Whole-text replacements in turn, each of which stays within one word;
-    number words are typed later, word by word.
-    """
-    out = F.lower(F.regexp_replace(trimmed, _NAME, NAME))
-    for pattern, holder in ((_NUMBER, NUMBER), (_UNIT, f"{NUMBER}$1{UNIT}")):
-        out = F.regexp_replace(out, pattern, holder)
-    return out
 
+def _kept_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, th, text): th tells apart different texts under one key."""
+    body = F.col(text).cast("string")
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), text_hash(body).alias("th"), body.alias("text"))
 
-def _typed_word(x: Column) -> Column:
-    return x.isin(NUMBER, UNIT, NAME)
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-def _shaped(df: DataFrame, key: str, text: str, capitals: bool = False) -> DataFrame:
-    """(key, shape, typed, hashes, words): template words, which are typed, their hashes, and raw words if any is.
 
-    With capitals, raw words always, and `opens`: which other words are capitalised.
+def benchmark_windows(items: DataFrame, window: int = WINDOW, share: float = 0.5, least: int = 4, key: str = "item_id", text: str = "text") -> DataFrame:
+    """(item_id, q, size, h, slots, whole, rule, n_windows, rare): the windows of each distinct item, at all places.
+
+    rule: 0 values may be others, 1 names must be the same, 2 all values must be. whole: matches whole texts only.
+    rare: one of the few of which every contaminated document has one.
     """
-    texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), _trimmed(F.col(text).cast("string")).alias("trimmed"))
-    shaped = texts.select("key", "trimmed", template(F.col("trimmed")).alias("canonical"))
-    counted = lambda x: F.when(x.isin(NUMBER_WORDS), NUMBER).otherwise(x)
-    words = shaped.select("key", "trimmed", F.transform(raw_words(F.col("canonical")), counted).alias("shape"))
-    # raw words are only needed for slots, and most windows have none
-    marked = words.select("*", F.transform("shape", lambda x: x.startswith("\x01")).alias("typed"))
-    told = F.when(F.array_contains("typed", True), raw_words(F.col("trimmed"))) if not capitals else raw_words(F.col("trimmed"))
-    out = marked.select("key", "shape", "typed", F.transform("shape", lambda x: F.xxhash64(x)).alias("hashes"), told.alias("words"))
-    if not capitals:
-        return out
-    return out.withColumn("opens", F.zip_with("shape", "words", lambda s, w: ~s.startswith("\x01") & (F.left(s, F.lit(1)) != F.left(w, F.lit(1)))))
-
-
-def _opened(shaped: DataFrame) -> DataFrame:
-    """shaped in the second way: capitalised words that begin a sentence are names."""
-    either = {
-        "shape": F.zip_with("shape", "opens", lambda x, o: F.when(o, NAME).otherwise(x)),
-        "typed": F.zip_with("typed", "opens", lambda x, o: x | o),
-        "hashes": F.zip_with("hashes", "opens", lambda x, o: F.when(o, F.xxhash64(F.lit(NAME))).otherwise(x)),
-    }
-    return shaped.withColumns(either)
-
-
-def _around(size: int) -> Column:
-    """Begins, from 0, of the windows that hold an opening capitalised word."""
-    last = F.size("hashes") - size
-    at = F.filter(F.transform("opens", lambda o, i: F.when(o, i)), lambda i: i.isNotNull() & (i - (size - 1) <= last))
-    spans = F.transform(at, lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, last)))
-    return F.when(last >= 0, F.array_distinct(F.flatten(spans))).otherwise(F.array().cast("array<int>"))
-
-
-def _windows(size: int, begins: Column | None = None) -> Column:
-    """(p, size, h, slots) of each window, or of those with the begins; slots are its typed words as written, null if there are none."""
-    holds = lambda p: F.array_contains(F.slice("typed", p, size), True)
-
-    def slots(p: Column) -> Column:
-        told = F.zip_with(F.slice("words", p, size), F.slice("typed", p, size), lambda x, y: F.when(y, F.lower(x)))
-        return F.when(holds(p), F.array_join(told, "\x1f"))
-
-    def at(i: Column) -> Column:
-        return one(F.get("hashes", i), i)
-
-    def one(x: Column, i: Column) -> Column:
-        h = F.xxhash64(F.lit(size), x, *[F.get("hashes", i + k) for k in range(1, size)])
-        return F.struct((i + 1).alias("p"), F.lit(size).alias("size"), h.alias("h"), F.when(F.col("words").isNotNull(), slots(i + 1)).alias("slots"))
-
-    if begins is not None:
-        return F.transform(begins, at)
-    return F.transform(F.slice("hashes", 1, F.greatest(F.size("hashes") - (size - 1), F.lit(0))), one)
-
-
-def benchmark_windows(items: DataFrame, window: int = WINDOW, least: int = 4, key: str = "item_id", text: str = "text", capitals: bool = False) -> DataFrame:
-    """(item_id, way, q, size, h, item_slots, n_windows): usable windows, each template once per item and way."""
-    shaped = _shaped(items, key, text, capitals).withColumn("n", F.size("shape")).where(F.col("n") >= least).withColumn("way", F.lit(1))
-    if capitals:
-        shaped = written(shaped, "items")
-        shaped = shaped.unionByName(_opened(shaped).withColumn("way", F.lit(2)))
-    lengths = [F.when(F.col("n") == n, _windows(n)) for n in range(least, window)]
-    own = F.coalesce(F.when(F.col("n") >= window, _windows(window)), *lengths)
-    tall = shaped.select("key", "way", "shape", F.explode(own).alias("w"))
-    plain = F.size(F.filter(F.slice("shape", F.col("w.p"), F.col("w.size")), lambda x: ~_typed_word(x)))
-    usable = tall.where(2 * plain >= F.col("w.size")).select(F.col("key").alias("item_id"), "way", F.col("w.p").alias("q"), "w.size", "w.h", F.col("w.slots").alias("item_slots"))
-    once = usable.groupBy("item_id", "way", "h", "size").agg(F.min(F.struct("q", "item_slots")).alias("r")).select("item_id", "way", "r.q", "size", "h", "r.item_slots")
-    counts = once.groupBy("item_id", "way").agg(F.count("*").alias("n_windows"))
-    return once.join(counts, ["item_id", "way"])
-
-
-def matches(docs: DataFrame, windows: DataFrame, sizes: list[int], small: bool, key: str = "doc_id", text: str = "text", capitals: bool = False) -> DataFrame:
-    """(key, item_id, way, shift, q, size, n_windows, item_slots, slots) of every window that matches."""
-    shaped = _shaped(docs, key, text, capitals)
-
-    def tall(rows: DataFrame, begins, way: int) -> DataFrame:
-        # lengths other than the window's are those of short items: at most window - least of them
-        every = F.flatten(F.array(*[_windows(n, begins(n)) for n in sizes])) if len(sizes) > 1 else _windows(sizes[0], begins(sizes[0]))
-        return rows.select("key", F.explode(every).alias("w")).select("key", F.col("w.p").alias("p"), F.col("w.h").alias("h"), F.col("w.size").alias("size"), F.col("w.slots").alias("slots"), F.lit(way).alias("doc_way"))
-
-    side = F.broadcast(windows) if small else windows
-
-    def met(rows: DataFrame) -> DataFrame:
-        found = rows.join(side, ["h", "size"]).where("doc_way = 1 OR way = 2")
-        return found.select("key", "item_id", "way", (F.col("p") - F.col("q")).alias("shift"), "q", "size", "n_windows", "item_slots", "slots")
-
-    first = met(tall(shaped, lambda n: None, 1))
-    if not capitals:
-        return first
-    return first.unionByName(met(tall(_opened(shaped.where(F.array_contains("opens", True))), _around, 2)))
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.5, least: int = 4, broadcast_rows: int = 500_000, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", capitals: bool = False, distinct_numbers: bool = True) -> DataFrame:
-    """(key, item_id, hits, n_windows, same_values) of each document and item that contaminates it."""
-    known = written(benchmark_windows(items, window, least, item_key, item_text, capitals), "windows")
-    size = known.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
-    sizes = sorted(size["sizes"] or [window])
-    met = written(matches(docs, known, sizes, size["n"] <= broadcast_rows, key, text, capitals), "matches")
-    which = ["key", "item_id", "way", "shift"]
-    aligned = met.groupBy(*which).agg(F.countDistinct("q").alias("hits"), F.max("n_windows").alias("n_windows"), F.max("size").alias("size"))
-    pairs = (
-        met.where("slots IS NOT NULL")
-        .select(*which, F.explode(F.arrays_zip(F.split("item_slots", "\x1f").alias("a"), F.split("slots", "\x1f").alias("b"))).alias("z"))
-        .select(*which, "z.a", "z.b")
-        .distinct()
-    )
-    # each value of the item becomes one value; of these, different ones become different ones
-    apart = F.lit(True) if distinct_numbers else ~(F.col("a").rlike(r"^[$+\-]?[0-9]") | F.col("a").isin(NUMBER_WORDS))
-    by_a = pairs.groupBy(*which, "a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
-    forward = by_a.groupBy(*which).agg(F.max("n").alias("most"), F.count(F.when(apart, 1)).alias("n_a"), F.bool_and(F.col("a") == F.col("b")).alias("same"))
-    backward = pairs.where(apart).select(*which, "b").distinct().groupBy(*which).agg(F.count("*").alias("n_b"))
-    slots = forward.join(backward, which, "left").withColumn("consistent", (F.col("most") == 1) & (F.col("n_a") == F.coalesce("n_b", F.lit(0))))
-    judged = aligned.join(slots.select(*which, "consistent", "same"), which, "left").where("coalesce(consistent, true)")
-    judged = judged.where((F.col("way") == 1) | (F.col("size") >= window) | F.coalesce("same", F.lit(True)))
-    found = judged.groupBy("key", "item_id", "way").agg(F.sum("hits").cast("long").alias("hits"), F.max("n_windows").alias("n_windows"), F.bool_and(F.coalesce("same", F.lit(True))).alias("same_values"))
-    enough = found.where(F.col("hits") >= F.ceil(F.col("n_windows") * F.lit(share)))
-    best = enough.groupBy("key", "item_id").agg(F.max_by(F.struct("hits", "n_windows", "same_values"), F.struct("hits", (-F.col("way")).alias("w"))).alias("r"))
-    return best.select(F.col("key").alias(key), "item_id", "r.hits", "r.n_windows", "r.same_values")
-
-
-def flagged(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    split = items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), words(F.col(text).cast("string")).alias("w")).where(F.size("w") > 0)
+    distinct = split.groupBy("w").agg(F.min("item_id").alias("item_id"))
+    hashed = distinct.select("item_id", "w", F.transform("w", lambda x: F.xxhash64(_kind(x))).alias("hashes"))
+    n = F.size("w")
+    sized = [F.when(n == k, _window_hashes("hashes", k)) for k in range(1, window)]
+    tall = hashed.select("item_id", "w", F.least(n, F.lit(window)).alias("size"), F.posexplode(F.coalesce(*sized, _window_hashes("hashes", window))).alias("q", "h"))
+    told = tall.select("item_id", (F.col("q") + 1).alias("q"), "size", "h", _slots(F.slice("w", F.col("q") + 1, F.col("size"))).alias("slots"), n.alias("n"))
+    loose = 2 * F.size("slots") <= F.col("size")
+    per = Window.partitionBy("item_id")
+    used = told.withColumn("loose", loose).withColumn("any", F.max("loose").over(per)).where("loose OR NOT any")
+    rule = F.when(~F.col("loose") | (F.col("n") < least), 2).when(F.col("n") < window, 1).otherwise(0)
+    counted = used.withColumns({"n_windows": F.count("*").over(per), "rule": rule, "whole": F.col("n") < least})
+    sharing = counted.groupBy("h").agg(F.countDistinct("item_id").alias("sharing"))
+    place = F.row_number().over(per.orderBy("sharing", "q"))
+    out = counted.join(sharing, "h").withColumn("rare", place <= F.col("n_windows") - F.ceil(F.col("n_windows") * F.lit(share)) + 1)
+    return out.select("item_id", "q", "size", "h", "slots", "whole", "rule", "n_windows", "rare")
+
+
+def hits(docs: DataFrame, known: DataFrame, sizes: list[int], broadcast_rows: int) -> DataFrame:
+    """(key, th, p, size, h, n) of the windows in docs (key, th, text) that the benchmark has too; n words in the text."""
+    hashed = docs.select("key", "th", F.transform(words(F.col("text")), lambda x: F.xxhash64(_kind(x))).alias("hashes"))
+    met = None
+    for size in sizes:
+        tall = hashed.select("key", "th", F.size("hashes").alias("n"), F.posexplode(_window_hashes("hashes", size)).alias("p", "h"))
+        side = small_side(known.where(F.col("size") == size).select("h").distinct(), broadcast_rows)
+        found = tall.join(side, "h").select("key", "th", (F.col("p") + 1).alias("p"), F.lit(size).alias("size"), "h", "n")
+        met = found if met is None else met.unionByName(found)
+    return met
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.5, least: int = 4, broadcast_rows: int = 500_000, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, th, item_id, hits, n_windows, same_values) of each document and item that contaminates it."""
+    known = written(benchmark_windows(items, window, share, least, item_key, item_text), "windows")
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect()) or [window]
+    texts = _kept_texts(docs, key, text)
+    met = written(hits(texts, known, sizes, broadcast_rows), "hits")
+    rare = small_side(known.where("rare").select("h", "size", "item_id", "whole").distinct(), broadcast_rows)
+    candidates = met.join(rare, ["h", "size"]).where("NOT whole OR n = size").select("key", "th", "item_id").distinct()
+    pairs = candidates.join(small_side(known, broadcast_rows), "item_id").join(met.select("key", "th", "p", "size", "h"), ["key", "th", "size", "h"])
+    which = ["key", "th", "item_id", "shift"]
+    met_pairs = written(pairs.select("key", "th", "item_id", (F.col("p") - F.col("q")).alias("shift"), "p", "q", "size", "slots", "rule", "n_windows"), "pairs")
+
+    # the values in the documents, at the places that met
+    places = met_pairs.where(F.size("slots") > 0).select("key", "th", "p", "size").distinct().groupBy("key", "th").agg(F.collect_list(F.struct("p", "size")).alias("at"))
+    some = texts.join(small_side(met_pairs.where(F.size("slots") > 0).select("key", "th").distinct()), ["key", "th"], "left_semi").dropDuplicates(["key", "th"])
+    split = some.join(places, ["key", "th"]).select("key", "th", words(F.col("text")).alias("w"), F.explode("at").alias("at"))
+    values = split.select("key", "th", "at.p", "at.size", _slots(F.slice("w", F.col("at.p"), F.col("at.size"))).alias("there"))
+    zipped = met_pairs.join(values, ["key", "th", "p", "size"]).select(*which, "rule", F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("there").alias("b"))).alias("z")).select(*which, "rule", "z.a", "z.b").distinct()
+    apart = F.col("a").startswith(NAME) | F.col("a").startswith(UNIT)
+    wrong = (F.col("a") != F.col("b")) & ((F.col("rule") == 2) | ((F.col("rule") == 1) & apart))
+    by_a = zipped.groupBy(*which, "a").agg(F.countDistinct("b").alias("n"), F.min("b").alias("b"), F.max(wrong).alias("wrong"))
+    forward = by_a.groupBy(*which).agg(F.max("n").alias("most"), F.max("wrong").alias("wrong"), F.count(F.when(apart, 1)).alias("n_a"), F.bool_and(F.col("a") == F.col("b")).alias("same"))
+    backward = zipped.where(apart).groupBy(*which).agg(F.countDistinct("b").alias("n_b"))
+    checked = forward.join(backward, which, "left").select(*which, ((F.col("most") == 1) & ~F.col("wrong") & (F.col("n_a") == F.coalesce("n_b", F.lit(0)))).alias("consistent"), "same")
+    aligned = met_pairs.select(*which, "q", "n_windows").distinct().join(checked, which, "left").where("coalesce(consistent, true)")
+    found = aligned.groupBy("key", "th", "item_id").agg(F.countDistinct("q").alias("hits"), F.max("n_windows").cast("long").alias("n_windows"), F.bool_and(F.coalesce("same", F.lit(True))).alias("same_values"))
+    return found.where(F.col("hits") >= F.ceil(F.col("n_windows") * F.lit(share))).withColumnRenamed("key", key)
+
+
+def flagged(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, contaminated, n_items, item_id, hits, same_values) per row of docs; item_id has the most hits, then the least id."""
     best = F.max_by(F.struct("item_id", "hits", "same_values"), F.struct("hits", (-F.col("item_id")).alias("i")))
-    per = found.groupBy(key).agg(F.count("*").alias("n_items"), best.alias("r"))
-    joined = docs.select(F.col(key).cast("long").alias(key)).join(per, key, "left")
+    per = found.groupBy(key, "th").agg(F.count("*").alias("n_items"), best.alias("r"))
+    joined = docs.select(F.col(key).cast("long").alias(key), text_hash(F.col(text).cast("string")).alias("th")).join(per, [key, "th"], "left")
     return joined.select(key, F.col("r").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "r.item_id", F.coalesce("r.hits", F.lit(0)).cast("long").alias("hits"), "r.same_values")
+
+
+def clean(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that no item contaminates, whatever their columns are called."""
+    dirty = written(found.select(F.col(key).alias("_key"), F.col("th").alias("_th")).distinct(), "contaminated")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").cast("long").alias("_key"), text_hash(F.col(f"`{text}`").cast("string")).alias("_th"))
+    return rows.join(small_side(dirty), ["_key", "_th"], "left_anti").select("_row.*")

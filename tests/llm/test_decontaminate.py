@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from pagemill.llm import decontaminate as D
 
 DOCS = "doc_id long, text string, item_id string, slots int, key string"
@@ -28,8 +30,8 @@ def test_exact_reparameterised_and_clean(spark):
         assert n == len(docs)
         dirty = {i for i, r in got.items() if r["contaminated"]}
         assert dirty >= {0, 1, 2, 8} and not dirty & {3, 4, 6, 7, 9, 10, 11, 12, None}
-        assert got[0]["item_id"] == 1 and got[0]["n_items"] == 2 and got[0]["same_values"] and got[1]["same_values"]
-        assert got[2]["same_values"] is False and got[8]["n_items"] == 3
+        assert got[0]["item_id"] == 1 and got[0]["n_items"] == 1 and got[0]["same_values"] and got[1]["same_values"]
+        assert got[2]["same_values"] is False and got[8]["n_items"] == 2
 
 
 def test_short_items_and_empty_tables(spark):
@@ -46,64 +48,70 @@ def test_short_items_and_empty_tables(spark):
 def test_templates(spark):
     texts = ['He paid $1,200.50 for 3 kg. Then Mary and Étienne (twelve) in 5 cm', '"Stop!" He ran to "Ann." Bob  said: yes\x01 one.\n\nNext 3.5% of O\'Brien, ok', "", "... !?", "a  -  b"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r["key"]: r for r in D._shaped(df, "i", "t").collect()}
+    got = {r["i"]: r for r in df.select("i", D.words(df["t"]).alias("w"), F.transform(D.words(df["t"]), D._kind).alias("shape")).collect()}
     n, u, p = D.NUMBER, D.UNIT, D.NAME
     assert got[0]["shape"] == ["he", "paid", n, "for", n, u, "then", p, "and", p, n, "in", n, u]
-    assert got[0]["words"] == ["He", "paid", "$1,200.50", "for", "3", "kg", "Then", "Mary", "and", "Étienne", "twelve", "in", "5", "cm"]
-    assert got[1]["shape"] == ["stop", "he", "ran", "to", p, "bob", "said", "yes", n, "next", n, "of", p, "ok"]
-    assert len(got[1]["words"]) == len(got[1]["shape"])
-    assert got[2]["shape"] == [] and got[3]["shape"] == [] and got[4]["shape"] == ["a", "-", "b"] and got[4]["words"] is None
-
-
-SEPARATORS = "[ \t\n\x0b\x0c\r]+"
+    assert got[0]["w"] == ["he", "paid", n + "$1,200.50", "for", n + "3", u + "kg", "then", p + "mary", "and", p + "étienne", "twelve", "in", n + "5", u + "cm"]
+    assert got[1]["shape"] == [p, "he", "ran", "to", p, p, "said", "yes", n, p, n, "of", p, "ok"]
+    assert got[2]["shape"] == [] and got[3]["shape"] == [] and got[4]["shape"] == ["a", "-", "b"]
 
 
 def brute_words(text):
-    """(template word, lower-case raw word) pairs by the rules, word by word."""
-    raw = [w for w in re.split(SEPARATORS, text or "") if w.strip(D.EDGES)]
+    """(template word, value) pairs by the rules, word by word."""
+    text = re.sub(r"[.,:]+(?![0-9])", " ", text or "")
+    for mark in '!?;"()[]{}<>“”«»…\t\n\x0b\x0c\r\x01':
+        text = text.replace(mark, " ")
     out = []
-    for i, w in enumerate(raw):
-        core = w.strip(D.EDGES)
-        before = re.sub("[\"')\\]”’»]{0,2}$", "", raw[i - 1]) if i else "."
-        kind = core.lower()
-        if core.lower() in D.UNITS and out and out[-1][2]:
-            kind = D.UNIT
-        elif re.fullmatch(r"[$+\-]?[0-9][0-9.,/:]*%?", core):
-            kind = D.NUMBER
-        elif core.lower() in D.NUMBER_WORDS:
-            kind = D.NUMBER
-        elif core[0].isupper() and before[-1:] not in (".", "!", "?", ""):
+    for w in re.sub("['‘’]", "", text).split(" "):
+        low = w.lower()
+        if not w:
+            continue
+        if w[0].isupper() and low not in D.OPENERS:
             kind = D.NAME
-        out.append((kind, core.lower(), kind == D.NUMBER and core[0] in "0123456789$+-"))
+        elif re.fullmatch(r"[$+\-]?[0-9][0-9.,/:]*%?", w) or low in D.NUMBER_WORDS:
+            kind = D.NUMBER
+        elif low in D.UNITS and out and out[-1][0] == D.NUMBER and out[-1][1] not in D.NUMBER_WORDS:
+            kind = D.UNIT
+        else:
+            kind = low
+        out.append((kind, low))
     return out
 
 
+def one_to_one(pairs):
+    return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
 def brute_contamination(docs, items, window=8, share=0.5, least=4):
+    """Every window of every item against every window of every document."""
     typed = (D.NUMBER, D.UNIT, D.NAME)
     found = {}
     for item, text in items:
         words = brute_words(text)
-        if len(words) < least:
-            continue
-        size = min(window, len(words))
-        known = {}
-        for q in range(len(words) - size + 1):
-            shape = tuple(w[0] for w in words[q : q + size])
-            if 2 * sum(x not in typed for x in shape) >= size:
-                known.setdefault(shape, q)
+        n = len(words)
+        size = min(window, n)
+        shape = lambda ws: tuple(k for k, _ in ws)
+        every = {q: shape(words[q : q + size]) for q in range(n - size + 1)}
+        loose = {q: s for q, s in every.items() if 2 * sum(x in typed for x in s) <= size}
+        rule = 2 if not loose or n < least else 1 if n < window else 0
+        known = loose or every
         for doc, body in docs:
             there = brute_words(body)
-            shifts = {}
+            good, shifts = set(), {}
             for p in range(len(there) - size + 1):
-                shape = tuple(w[0] for w in there[p : p + size])
-                if shape in known:
-                    q = known[shape]
-                    pairs, hits = shifts.setdefault(p - q, (set(), set()))
-                    hits.add(q)
-                    pairs |= {(words[q + k][1], there[p + k][1]) for k in range(size) if shape[k] in typed}
-            total = sum(len(h) for pairs, h in shifts.values() if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}))
-            if known and total >= math.ceil(len(known) * share):
-                found[doc, item] = total
+                for q in known:
+                    if known[q] == shape(there[p : p + size]) and (n >= least or len(there) == n):
+                        pairs, qs = shifts.setdefault(p - q, (set(), set()))
+                        qs.add(q)
+                        pairs |= {(k, a, b) for (k, a), (_, b) in zip(words[q : q + size], there[p : p + size]) if k in typed}
+            for pairs, qs in shifts.values():
+                names = {(a, b) for k, a, b in pairs if k != D.NUMBER}
+                numbers = {(a, b) for k, a, b in pairs if k == D.NUMBER}
+                strict = {2: names | numbers, 1: names, 0: set()}[rule]
+                if one_to_one(names) and len(numbers) == len({a for a, _ in numbers}) and all(a == b for a, b in strict):
+                    good |= qs
+            if known and n and len(good) >= math.ceil(len(known) * share):
+                found[doc, item] = len(good)
     return found
 
 
@@ -120,7 +128,7 @@ def test_equals_brute_force(spark):
         return r.choice(plain) + r.choice(["", "", "", ",", ".", "!", ".)"]) if kind < 0.95 else r.choice(["three", "ten", "(two)"])
 
     text = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, text(r.randint(3, 28))) for i in range(14)]
+    items = [(i, text(r.randint(1, 28))) for i in range(14)] + [(14, " ".join(["train leaves Ann 5 km"] * 5)), (15, "Ann 5 km Bob 3 kg " * 3), (16, "old bridge")]
     swap = {"Ann": "Eve", "Bob": "Ann", "Kyiv,": "Rome,", "three": "nine"}
     docs = []
     for i in range(140):
@@ -136,7 +144,7 @@ def test_equals_brute_force(spark):
             body = " ".join(w)
         elif kind == 4:
             body = text(20)
-        docs.append((i, text(r.randint(0, 20)) + " " + body + "\n" + text(r.randint(0, 20))))
+        docs.append((i, body if i % 7 == 0 else text(r.randint(0, 20)) + " " + body + "\n" + text(r.randint(0, 20))))
     want = brute_contamination(docs, items)
     assert 60 < len(want) < 140
     df = spark.createDataFrame([(*d, "x", 0, "k") for d in docs], DOCS)
@@ -144,7 +152,6 @@ def test_equals_brute_force(spark):
     assert {(f["doc_id"], f["item_id"]): f["hits"] for f in found} == want
 
 
-WHOLE = {"capitals": True, "distinct_numbers": False}
 WORD_PROBLEM = "Tom has 5 apples and 3 pears. Tom gives Ann 2 apples. How many fruits does Tom have now?"
 
 
@@ -152,10 +159,8 @@ def test_names_that_begin_a_sentence_and_numbers_that_become_equal(spark):
     renamed = WORD_PROBLEM.replace("Tom", "Bob").replace("5", "7")
     equal = WORD_PROBLEM.replace("5", "4").replace("3", "4")
     docs = [(i, t, "", 0, "") for i, t in enumerate([renamed, equal, INCONSISTENT, "Some words: " + renamed, WORD_PROBLEM.lower()])]
-    got, _ = run(spark, docs, [(1, WORD_PROBLEM, 0, 0), (2, A, 0, 0)], **WHOLE)
+    got, _ = run(spark, docs, [(1, WORD_PROBLEM, 0, 0), (2, A, 0, 0)])
     assert [got[i]["contaminated"] for i in range(4)] == [True, True, False, True]
-    old, _ = run(spark, docs, [(1, WORD_PROBLEM, 0, 0)])
-    assert all(got[i]["contaminated"] for i in old if old[i]["contaminated"])
 
 
 def test_what_stands_before_an_item_does_not_matter(spark):
@@ -163,5 +168,34 @@ def test_what_stands_before_an_item_does_not_matter(spark):
     before = ["Question: ", "Quiz\n", "", "They asked. ", "so they asked "]
     docs = [(i, b + item + " Nobody knew.", "", 0, "") for i, b in enumerate(before)]
     docs += [(10, "asked which planet is the largest", "", 0, ""), (11, "Quiz\nEvery planet is the largest", "", 0, "")]
-    got, _ = run(spark, docs, [(1, item, 0, 0), (2, A, 0, 0)], **WHOLE)
+    got, _ = run(spark, docs, [(1, item, 0, 0), (2, A, 0, 0)])
     assert {i for i, r in got.items() if r["contaminated"]} == {0, 1, 2, 3, 4, 10}
+
+
+def test_texts_under_one_key_and_shared_templates(spark):
+    """Each text of a key is judged by itself; a template of many items makes no pair of each document and item."""
+    common = "which of the following words is the right answer to it"
+    items = [(i, f"{common}: {w} or the other word that stands beside it on the long list", 0, 0) for i, w in enumerate("alpha beta gamma delta epsilon zeta eta theta".split())]
+    docs = [(1, items[0][1], "", 0, ""), (1, "nothing of the kind", "", 0, ""), (2, common + " there", "", 0, "")]
+    d = spark.createDataFrame(docs, DOCS)
+    found = D.contamination(d, spark.createDataFrame(items, ITEMS))
+    got = sorted((r["doc_id"], r["contaminated"], r["n_items"]) for r in D.flagged(d, found).collect())
+    assert got[0] == (1, False, 0) and got[1][:2] == (1, True) and got[2] == (2, False, 0)
+    assert sorted(r["doc_id"] for r in D.clean(d, found).collect()) == [1, 2]
+
+
+def test_recall_on_reparameterised_items(spark):
+    """Names, numbers and units of items are replaced throughout; of 200, at least 180 must be found."""
+    r = random.Random(8)
+    plain = "train leaves the station and reaches town while children walk along river banks counting boats near old bridge".split()
+    docs, items = [], []
+    for i in range(200):
+        ws = [r.choice(["Tom", "Ann", "Leo"]) if (x := r.random()) < 0.12 else str(r.randint(2, 60)) if x < 0.24 else r.choice(plain) for _ in range(r.randint(12, 40))]
+        items.append((i, " ".join(ws) + ".", 0, 0))
+        names = dict(zip(["Tom", "Ann", "Leo"], r.sample(["Bo", "Eva", "Kim", "Sue"], 3)))
+        numbers = {str(n): str(r.randint(2, 99)) for n in range(2, 61)}
+        docs.append((i, "Some words before: " + " ".join(names.get(w, numbers.get(w, w)) for w in ws) + ". And after.", "", 0, ""))
+    docs += [(1000 + i, " ".join(r.choice(plain) for _ in range(60)), "", 0, "") for i in range(200)]
+    got, _ = run(spark, docs, items)
+    caught = sum(got[i]["contaminated"] for i in range(200))
+    assert caught >= 180 and not any(got[1000 + i]["contaminated"] for i in range(200)), caught
