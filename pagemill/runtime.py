@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,25 +42,42 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A fresh path below spark.checkpoint.dir; a folder of our own is set only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        known = spark.sparkContext.getCheckpointDir()
-        if known is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-checkpoint-"))
-            known = spark.sparkContext.getCheckpointDir()
-        base = known
+    """A fresh path below spark.checkpoint.dir; where that is unset, below a local folder on a local master, else below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
+    if not base and spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-checkpoint-"))
+        base = spark.sparkContext.getCheckpointDir()
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/pagemill/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read back: cuts lineage and survives lost executors."""
+_scratch: list[list[str]] = []
+
+
+def written(df: DataFrame, tag: str, result: bool = False) -> DataFrame:
+    """Write to the shared folder as Parquet and read back: cuts lineage and survives lost executors.
+
+    Inside of `scratch`, the folder goes with it, unless it is a result.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, tag)
     df.write.parquet(path)
+    if _scratch and not result:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at the end what `written` made inside and isn't a result; nothing lazy may depend on it then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop_folder(spark, path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """An input of fewer splits than cores over all cores; larger inputs, so all that matter at scale, stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
