@@ -67,6 +67,12 @@ def gram_hash(prefix: np.ndarray, size: int) -> np.ndarray:
         return mix((prefix[size:] - prefix[:-size]) * _power_table("pow", MULT, len(prefix))[:n])
 
 
+def pair_name(names: np.ndarray, offset: int) -> np.ndarray:
+    """The name of (names[i], names[i + offset]) for each i that has both."""
+    with np.errstate(over="ignore"):
+        return mix(names[: len(names) - offset] * MULT + mix(names[offset:]))
+
+
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` consecutive keys, by block prefix and suffix minima."""
     n = len(keys)

@@ -1,20 +1,22 @@
-"""Exact repeated windows over a whole corpus, by ranks of anchors of doubling length.
-
-The positions that are ranked are the content-defined anchors of `anchors.py`,
-not all positions: the anchor of a window is its least `gram`-unit substring,
-so windows with different anchors differ.  A *run* is a stretch of windows with
-one anchor; (anchor hash, content hash) is its rank.
-
-1. Ranks are grouped by anchor.  An anchor that occurs once settles its windows
-   as unique.  If all runs of an anchor have one content, their windows repeat.
-2. Runs with one anchor and several contents are *contested*: they may share some
-   of their windows.  Equal contents are settled, one of them staying as a witness.
-   If an anchor has at most `bound` contested runs, one task compares their windows.
-3. Anchors with more are re-ranked: their runs are cut anew under anchors of
-   doubled length, and so on, up to the window length, where every window is its
-   own anchor and step 1 settles everything.  Thus no task gets an unbounded group.
-
-Rows of runs: key, at (first window), n (windows), mh, s, ord, need, copies.
+"""Exact repeated windows over a whole corpus: anchored runs, their ranks, and how contested ones are settled.
+
+Positions are the content-defined anchors of `anchors.py`, not all positions: the
+anchor of a window is its least `gram`-unit substring, so windows with different
+anchors differ.  A *run* is a stretch of windows with one anchor; (anchor name,
+content hash), 128 bits in all, is its rank.
+
+Ranks are grouped by anchor.  An anchor that occurs once settles its windows as
+unique.  If all runs of an anchor have one content, their windows repeat.  Runs with
+one anchor and several contents are *contested*: they may share some of their windows.
+Equal contents are settled, one of them staying as a witness.  The rest is settled
+
+* by `settle_by_ranks`: cut anew under anchors of doubled length, named by the pair of
+  the names of their halves, and ranked again, until unique or at the window length;
+* or by `settle_by_texts`: windows of one anchor are compared in one task, bytes
+  included; anchors with too many or too large runs are first cut anew as above.
+
+Rows of runs: key, th, at (first window), n (windows), mh, s, ord, need, copies.
+(key, th) names a text: th tells apart different texts under one key.
 *Ordered*: a window is covered if an equal one has a smaller `ord`.
 *Unordered*: a window is covered if an equal one stands anywhere else.
 """
@@ -31,24 +33,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import anchors as A
-from pagemill.runtime import ship_package, written
+from pagemill.runtime import ship_package, small_side, written
 
 BYTE_CODE = A.mix(np.arange(1, 257, dtype=np.uint64))
-ROWS = "key long, at long, n int, mh long, s long"
+NAME = ["key", "th"]
+ROWS = "key long, th long, at long, n int, mh long, s long"
 SEGMENTS = f"{ROWS}, ord long, need boolean, copies int, seg binary"
-#: Bytes of segments that are compared at once.
+FIELDS = ["key", "th", "at", "n", "mh", "s", "ord", "need", "copies", "seg"]
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+#: Bytes of segments that are cut or compared at once.
 CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
 class Units:
-    """What a window is made of, its length, and the anchor lengths of the levels."""
+    """What a window is made of, its length, and the anchor lengths of the levels.
+
+    bound, heavy: runs, and bytes of their texts, from which an anchor isn't compared in one task.
+    """
 
     words: bool
     length: int
     grams: tuple[int, ...]
     ordered: bool
     bound: int = 4096
+    heavy: int = 4 << 20
 
     def prepare(self, text: str | None) -> tuple[bytes, np.ndarray | None, np.ndarray | None]:
         """The unit text, and for words their starts and ends in it."""
@@ -66,15 +75,44 @@ class Units:
             return np.zeros(0, np.uint64)
         return A.span_hash(A.prefix_hash(BYTE_CODE[raw]), starts, ends)
 
-    def cut(self, data: bytes, starts: np.ndarray | None, ends: np.ndarray | None, gram: int):
-        """(first window, count, anchor hash, content hash, byte start, byte end) of each run."""
-        units = self.codes(data, starts, ends)
-        at, n, mh = A.runs(units, self.length, gram)
+    def cut(self, text: str | None) -> tuple[np.ndarray, ...]:
+        """(first window, count, anchor name, content hash) of each run of a text at the first level."""
+        data, starts, ends = self.prepare(text)
+        at, n, mh = A.runs(self.codes(data, starts, ends), self.length, self.grams[0])
         last = at + n + self.length - 1
         begin, end = (at, last) if not self.words else (starts[at], ends[last - 1]) if len(at) else (at, at)
         digest = xxhash.xxh3_64_intdigest
         s = np.fromiter((digest(data[a:z]) for a, z in zip(begin.tolist(), end.tolist())), np.uint64, len(at))
-        return at, n, mh, s, begin, end
+        return at, n, mh, s
+
+    def names(self, prefix: np.ndarray, level: int) -> np.ndarray:
+        """Names of all substrings of the level's length: each the name of a pair of names of the level before, the second at the offset that is added."""
+        size = self.grams[0]
+        out = A.gram_hash(prefix, size)
+        for longer in self.grams[1 : level + 1]:
+            out = A.pair_name(out, longer - size)
+            size = longer
+        return out
+
+
+class Joined:
+    """The texts of several runs behind each other, with their windows numbered through."""
+
+    def __init__(self, units: Units, n: np.ndarray, segs: list[bytes]):
+        self.units, self.n = units, n.astype(np.int64)
+        self.data = (b" " if units.words else b"").join(segs)
+        self.spans = A.word_spans(self.data) if units.words else (None, None)
+        self.prefix = A.prefix_hash(units.codes(self.data, *self.spans))
+        per = self.n + units.length - 1
+        first = np.cumsum(per) - per
+        self.owner = np.repeat(np.arange(len(n)), self.n)
+        self.within = np.arange(len(self.owner)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        self.start = first[self.owner] + self.within
+
+    def bytes_of(self, start: int, windows: int = 1) -> bytes:
+        """The text of windows from a unit on."""
+        end = start + windows + self.units.length - 1
+        return self.data[start:end] if not self.units.words else self.data[self.spans[0][start] : self.spans[1][end - 1]]
 
 
 def _small(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -90,18 +128,27 @@ def _small(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20)
             at = end
 
 
+def keyed(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, th, text); repeated rows have one name."""
+    body = F.col(text).cast("string")
+    return df.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("th"), body.alias("text"))
+
+
 def run_rows(docs: DataFrame, units: Units) -> DataFrame:
-    """ROWS of every run of docs (key, text); rows with a null key have none."""
+    """ROWS of every run of docs (key, th, text); rows with a null key have none."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches, 1):
-            found = [units.cut(*units.prepare(x), units.grams[0])[:4] for x in batch.column(1).to_pylist()]
-            keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x[0]) for x in found])
+        for batch in _small(batches, 2):
+            found = [units.cut(x) for x in batch.column(2).to_pylist()]
+            names = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), [len(x[0]) for x in found]) for i in (0, 1)]
             at, n, mh, s = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(mh.view(np.int64)), pa.array(s.view(np.int64))], ["key", "at", "n", "mh", "s"])
+            columns = (*names, at, n, mh.view(np.int64), s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS)], FIELDS[:6])
 
-    return docs.where("key IS NOT NULL").select("key", "text").mapInArrow(run, ROWS)
+    # shorter texts hold no window
+    some = docs.where("key IS NOT NULL").where(F.octet_length("text") >= (2 * units.length - 1 if units.words else units.length))
+    return some.select("key", "th", "text").mapInArrow(run, ROWS)
 
 
 def anchor_totals(rows: DataFrame) -> DataFrame:
@@ -122,10 +169,10 @@ def meet(units: Units, rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def judge(units: Units, met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(covered runs (key, at, n), contested rows) of what has met."""
-    covered = met.where("NOT mixed").select("key", "at", "n")
+    """(covered runs (key, th, at, n), contested rows) of what has met."""
+    covered = met.where("NOT mixed").select(*NAME, "at", "n")
     mixed = met.where("mixed")
-    kinds = mixed.groupBy("mh", "s").agg(F.sum("copies").alias("same"), F.min("ord").alias("lead"), F.min(F.struct("key", "at")).alias("rep"))
+    kinds = mixed.groupBy("mh", "s").agg(F.sum("copies").alias("same"), F.min("ord").alias("lead"), F.min(F.struct(*NAME, "at")).alias("rep"))
     # written apart: a join of two plain exchanges is one that Spark can split for a hot key
     told = mixed.join(written(kinds, "kinds"), ["mh", "s"])
     if units.ordered:
@@ -133,163 +180,198 @@ def judge(units: Units, met: DataFrame) -> tuple[DataFrame, DataFrame]:
         need, copies = F.col("need") & (F.col("ord") > F.col("first")), F.lit(1)
     else:
         out = F.col("need") & (F.col("same") > 1)
-        stay = (F.col("same") == 1) | (F.struct("key", "at") == F.col("rep"))
+        stay = (F.col("same") == 1) | (F.struct(*NAME, "at") == F.col("rep"))
         need, copies = F.col("need") & (F.col("same") == 1), F.least(F.col("same"), F.lit(2))
-    covered = covered.union(told.where(out).select("key", "at", "n"))
+    covered = covered.union(told.where(out).select(*NAME, "at", "n"))
     carried = [x for x in ("seg",) if x in met.columns]
-    contested = told.where(stay).select("key", "at", "n", "mh", "s", "ord", need.alias("need"), copies.cast("int").alias("copies"), *carried)
-    sizes = contested.groupBy("mh").agg(F.count("*").alias("size"), F.max("need").alias("wanted")).where("wanted")
-    return covered, contested.join(sizes.select("mh", (F.col("size") > units.bound).alias("hot")), "mh")
+    contested = told.where(stay).select(*NAME, "at", "n", "mh", "s", "ord", need.alias("need"), copies.cast("int").alias("copies"), *carried)
+    wanted = contested.groupBy("mh").agg(F.max("need").alias("wanted")).where("wanted").select("mh")
+    return covered, contested.join(wanted, "mh").select(*NAME, "at", "n", "mh", "s", "ord", "need", "copies", *carried)
+
+
+def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """The docs (key, th, text) of the written distinct names, once each; their join moves only these if the names are few."""
+    return docs.where("key IS NOT NULL").join(small_side(names), NAME, "left_semi").dropDuplicates(NAME)
 
 
 def fetch_segments(units: Units, contested: DataFrame, docs: DataFrame) -> DataFrame:
-    """Contested runs with their text, from docs (key, text)."""
-    wanted = contested.groupBy("key").agg(F.collect_list(F.struct("at", "n", "mh", "s", "ord", "need", "copies", "hot")).alias("runs"))
-    joined = docs.select("key", "text").join(wanted, "key").select("key", "text", "runs")
-    names = ["key", "at", "n", "mh", "s", "ord", "need", "copies", "seg", "hot"]
+    """Contested rows with their text, from docs (key, th, text)."""
+    wanted = contested.groupBy(*NAME).agg(F.collect_set(F.struct("at", "n", "mh", "s", "ord", "need", "copies")).alias("runs"))
+    some = texts_of(docs, written(contested.select(*NAME).distinct(), "names"))
+    joined = some.join(wanted, NAME).select(*NAME, "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches, 1):
-            lists = batch.column(2)
+        for batch in _small(batches, 2):
+            lists = batch.column(3)
             flat = lists.flatten()
             at, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            per = np.diff(lists.offsets.to_numpy()).tolist()
+            per = np.diff(lists.offsets.to_numpy())
             segs: list[bytes] = []
-            keys: list[int] = []
             place = 0
-            for key, text, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), per):
+            for text, count in zip(batch.column(2).to_pylist(), per.tolist()):
                 data, starts, ends = units.prepare(text)
                 a, z = at[place : place + count], at[place : place + count] + n[place : place + count] + units.length - 1
                 if units.words:
                     a, z = starts[a], ends[z - 1]
                 segs += [data[x:y] for x, y in zip(a.tolist(), z.tolist())]
-                keys += [key] * count
                 place += count
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(flat.field(i) for i in range(7)), pa.array(segs, pa.binary()), flat.field(7)], names)
+            names = [pa.array(np.repeat(batch.column(i).to_numpy(), per)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*names, *(flat.field(i) for i in range(7)), pa.array(segs, pa.binary())], FIELDS)
 
-    return joined.mapInArrow(run, f"{SEGMENTS}, hot boolean")
+    return joined.mapInArrow(run, SEGMENTS)
 
 
-def recut(units: Units, rows: DataFrame, gram: int) -> DataFrame:
-    """Runs of the rows' segments under longer anchors."""
-    chosen = rows.select("key", "at", "ord", "need", "copies", "seg")
+def recut(units: Units, rows: DataFrame, level: int) -> DataFrame:
+    """Runs of the rows' segments under the level's anchors; at the last level, without their texts."""
+    gram = units.grams[level]
+    chosen = rows.select(*NAME, "at", "n", "ord", "need", "copies", "seg")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches, 5):
-            cols: list[list] = [[] for _ in range(9)]
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                key, base, order, need, copies, seg = row
-                starts, ends = A.word_spans(seg) if units.words else (None, None)
-                at, n, mh, s, a, z = units.cut(seg, starts, ends, gram)
-                k = len(at)
-                values = ([key] * k, (at + base).tolist(), n.tolist(), mh.view(np.int64).tolist(), s.view(np.int64).tolist(), [order] * k, [need] * k, [copies] * k, [seg[x:y] for x, y in zip(a.tolist(), z.tolist())])
-                for c, v in zip(cols, values):
-                    c += v
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "at", "n", "mh", "s", "ord", "need", "copies", "seg"])
+        for batch in _small(batches, 7, CHUNK):
+            key, th, at, n, order, need, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            j = Joined(units, n, batch.column(7).to_pylist())
+            names = units.names(j.prefix, level)
+            place = np.arange(len(names), dtype=np.uint64)
+            anchor = (A.sliding_min((names & A.HIGH32) | place, units.length - gram + 1) & A.LOW32)[j.start]
+            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (j.owner[1:] != j.owner[:-1])])
+            head = np.flatnonzero(new)
+            count = np.diff(np.append(head, len(anchor)))
+            start, o = j.start[head], j.owner[head]
+            s = A.span_hash(j.prefix, start, start + count + units.length - 1)
+            segs = [None] * len(head) if gram == units.length else [j.bytes_of(a, c) for a, c in zip(start.tolist(), count.tolist())]
+            columns = (key[o], th[o], at[o] + j.within[head], count, names[anchor[head].astype(np.int64)].view(np.int64), s.view(np.int64), order[o], need[o], copies[o], segs)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS)], FIELDS)
 
     return chosen.mapInArrow(run, SEGMENTS)
 
 
-def _compare(units: Units, cols: list[np.ndarray], segs: list[bytes]) -> pa.RecordBatch:
-    """Covered runs among the windows of whole anchor groups."""
-    key, at, n, order, need, copies = cols
-    per = n.astype(np.int64) + units.length - 1
-    data = b" ".join(segs) if units.words else b"".join(segs)
-    spans = A.word_spans(data) if units.words else (None, None)
-    prefix = A.prefix_hash(units.codes(data, *spans))
-    first = np.cumsum(per) - per
-    owner = np.repeat(np.arange(len(n)), n)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    start = first[owner] + within
-    hashes = A.span_hash(prefix, start, start + units.length)
-    by = np.argsort(hashes, kind="stable")
-    ranked = hashes[by]
-    heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    group = np.cumsum(np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)]))
-    hit = np.zeros(len(owner), bool)
+def _level(units: Units, rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """(covered, contested) of rows with segments, ranked again under the level's anchors."""
+    cut = written(recut(units, rows, level), "level")
+    met = meet(units, cut, written(repeated(units, anchor_totals(cut)), "anchors"))
+    return judge(units, written(met, "met"))
+
+
+def settle_by_ranks(units: Units, contested: DataFrame, docs: DataFrame) -> DataFrame:
+    """Covered runs of the contested rows of the first level: all are ranked again, level by level."""
+    rows = fetch_segments(units, contested, docs)
+    covered = None
+    for level in range(1, len(units.grams)):
+        more, rows = _level(units, written(rows, "segments"), level)
+        covered = more if covered is None else covered.union(more)
+    # at the last level windows are their own anchors, and nothing is contested
+    return covered if covered is not None else contested.select(*NAME, "at", "n").where(F.lit(False))
+
+
+def _compare(units: Units, table: pa.Table) -> pa.RecordBatch:
+    """Covered runs among the windows of whole anchor groups: equal hashes, then equal bytes."""
+    key, th, at, n, order, need, copies = (table.column(i).to_numpy() for i in range(1, 8))
+    j = Joined(units, n, table.column(8).to_pylist())
+    owner = j.owner
+    hashes = A.span_hash(j.prefix, j.start, j.start + units.length)
+    weight = order[owner] if units.ordered else np.zeros(len(owner), np.int64)
+    by = np.lexsort((np.arange(len(owner)), weight, hashes))
+    head = np.concatenate([[True], hashes[by][1:] != hashes[by][:-1]])
+    group = np.cumsum(head) - 1
+    lead = np.empty(len(owner), np.int64)
+    lead[by] = by[np.flatnonzero(head)][group]
     if units.ordered:
-        hit[by] = order[owner[by]] > np.minimum.reduceat(order[owner[by]], heads)[group]
+        hit = order[owner] > order[owner[lead]]
     else:
-        hit[by] = np.add.reduceat(copies[owner[by]].astype(np.int64), heads)[group] > 1
+        hit = np.empty(len(owner), bool)
+        hit[by] = np.bincount(group, copies[owner[by]])[group] > 1
     hit &= need[owner]
+    # windows that follow each other, with leads that follow each other, are checked as one text
+    follows = np.concatenate([[False], hit[1:] & hit[:-1] & (owner[1:] == owner[:-1]) & (lead[1:] == lead[:-1] + 1) & (owner[lead[1:]] == owner[lead[:-1]])])
+    first = np.flatnonzero(hit & ~follows)
+    count = np.add.reduceat(hit.astype(np.int64), first) if len(first) else first
+    for w, c in zip(first.tolist(), count.tolist()):
+        if lead[w] != w and j.bytes_of(j.start[w], c) != j.bytes_of(j.start[lead[w]], c):
+            for x in range(w, w + c):
+                hit[x] = _covered_by_text(units, j, x, np.flatnonzero(hashes == hashes[x]), order, copies)
     before = np.concatenate([[False], hit[:-1] & (owner[1:] == owner[:-1])])
     begin = np.flatnonzero(hit & ~before)
     after = np.concatenate([hit[1:] & (owner[1:] == owner[:-1]), [False]])
     end = np.flatnonzero(hit & ~after)
     o = owner[begin]
-    return pa.RecordBatch.from_arrays([pa.array(key[o], pa.int64()), pa.array(at[o] + within[begin], pa.int64()), pa.array((end - begin + 1).astype(np.int32))], ["key", "at", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(key[o], pa.int64()), pa.array(th[o], pa.int64()), pa.array(at[o] + j.within[begin], pa.int64()), pa.array((end - begin + 1).astype(np.int32))], [*NAME, "at", "n"])
+
+
+def _covered_by_text(units: Units, j: Joined, window: int, peers: np.ndarray, order: np.ndarray, copies: np.ndarray) -> bool:
+    """Whether a window is covered, by the bytes of those with its hash."""
+    text = j.bytes_of(j.start[window])
+    same = [j.owner[x] for x in peers.tolist() if j.bytes_of(j.start[x]) == text]
+    return bool(min(order[same]) < order[j.owner[window]]) if units.ordered else int(copies[same].sum()) > 1
 
 
 def compare(units: Units, rows: DataFrame) -> DataFrame:
-    """Covered runs among rows whose anchors have at most `bound` rows each."""
-    chosen = rows.select("mh", "key", "at", "n", "ord", "need", "copies", "seg")
+    """Covered runs among rows whose anchors have bounded numbers of rows and bytes each."""
+    chosen = rows.select("mh", *NAME, "at", "n", "ord", "need", "copies", "seg")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in _small(batches, 7, CHUNK):
+        for batch in _small(batches, 8, CHUNK):
             held.append(batch)
-            if sum(x.num_rows for x in held) and sum(x.nbytes for x in held) >= CHUNK:
+            if sum(x.nbytes for x in held) >= CHUNK:
                 table = pa.Table.from_batches(held).combine_chunks()
                 mh = table.column(0).to_numpy()
                 last = int(np.flatnonzero(mh != mh[-1])[-1]) + 1 if (mh != mh[-1]).any() else 0
                 if last:
-                    yield _compare_table(units, table.slice(0, last))
+                    yield _compare(units, table.slice(0, last))
                 held = table.slice(last).to_batches()
         if held and sum(x.num_rows for x in held):
-            yield _compare_table(units, pa.Table.from_batches(held))
-
-    return chosen.repartition("mh").sortWithinPartitions("mh").mapInArrow(run, "key long, at long, n int")
+            yield _compare(units, pa.Table.from_batches(held))
 
+    return chosen.repartition("mh").sortWithinPartitions("mh").mapInArrow(run, "key long, th long, at long, n int")
 
-def _compare_table(units: Units, table: pa.Table) -> pa.RecordBatch:
-    return _compare(units, [table.column(i).to_numpy() for i in range(1, 7)], table.column(7).to_pylist())
 
-
-def settle_contested(units: Units, contested: DataFrame, docs: DataFrame) -> list[DataFrame]:
-    """Covered runs of the contested rows of level 0, through all further levels."""
-    rows = written(fetch_segments(units, contested, docs), "segments")
-    out = []
-    for gram in units.grams[1:]:
-        out.append(compare(units, rows.where("NOT hot")))
-        hot = rows.where("hot")
-        if hot.isEmpty():
-            return out
-        level = written(recut(units, hot, gram), "level")
-        met = meet(units, level, written(repeated(units, anchor_totals(level)), "anchors"))
-        covered, rows = judge(units, written(met, "met"))
-        out.append(covered)
-        rows = written(rows.select("key", "at", "n", "mh", "s", "ord", "need", "copies", "seg", "hot"), "contested")
-    return out
+def settle_by_texts(units: Units, contested: DataFrame, docs: DataFrame) -> DataFrame:
+    """Covered runs of the contested rows of the first level: texts are compared, of large anchors after further levels."""
+    rows = fetch_segments(units, contested, docs)
+    covered = None
+    for level in range(len(units.grams)):
+        rows = written(rows, "segments")
+        size = rows.groupBy("mh").agg(F.count("*").alias("rows"), F.sum(F.octet_length("seg")).alias("bytes"))
+        large = written(size.where((F.col("rows") > units.bound) | (F.col("bytes") > units.heavy)).where("rows > 1").select("mh"), "large")
+        more = compare(units, rows.join(small_side(large), "mh", "left_anti"))
+        covered = more if covered is None else covered.union(more)
+        if level + 1 == len(units.grams) or large.isEmpty():
+            break
+        more, rows = _level(units, rows.join(small_side(large), "mh", "left_semi"), level + 1)
+        covered = covered.union(more)
+    return covered
 
 
 def apply_cover(units: Units, docs: DataFrame, covered: DataFrame) -> DataFrame:
-    """(key, n_units, n_removed, n_spans, kept): kept is what no covered window touches, as binary."""
-    spans = covered.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    joined = docs.select("key", "text").join(spans, "key", "left").select("key", "text", "runs")
+    """(key, n_units, n_removed, n_spans, kept) for each row of docs (key, th, text): kept is what no covered window touches, as binary.
+
+    Texts without a covered window aren't moved, if the others' names are few enough to be sent everywhere.
+    """
+    covered = written(covered, "covered", result=True)
+    names = written(covered.select(*NAME).distinct(), "names", result=True)
+    few = small_side(names)
+    spans = covered.groupBy(*NAME).agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    touched = docs.join(few, NAME, "left_semi").join(spans, NAME).select("key", "text", "runs")
+    rest = docs.join(few, NAME, "left_anti").select("key", "text", F.lit(None).cast("array<struct<at:bigint,n:int>>").alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches, 1):
-            cols: list[list] = [[], [], [], []]
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2)):
-                cols_row = _kept(units, text, found)
-                for c, v in zip(cols, cols_row):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["key", "n_units", "n_removed", "n_spans", "kept"])
+            rows = [_kept(units, text, found) for text, found in zip(batch.column(1).to_pylist(), batch.column(2))]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "n_units", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(run, "key long, n_units long, n_removed long, n_spans long, kept binary")
+    schema = "key long, n_units long, n_removed long, n_spans long, kept binary"
+    return touched.mapInArrow(run, schema).union(rest.mapInArrow(run, schema))
 
 
 def _kept(units: Units, text: str | None, found: pa.ListScalar) -> tuple[int, int, int, bytes]:
     data, starts, ends = units.prepare(text)
     total = len(starts) if units.words else len(data)
     runs = found.values
-    if runs is None or not len(runs) or total < units.length:
+    if runs is None or not len(runs):
         return total, 0, 0, data
     at, n = (runs.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-    # texts that share an id share its runs; what lies beyond a text's end is void
-    fit = at + n + units.length - 1 <= total
-    mask = A.covered(at[fit], n[fit], units.length, total)
+    mask = A.covered(at, n, units.length, total)
     spans = int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1]))
     if units.words:
         kept = b" ".join([data[a:z] for a, z in zip(starts[~mask].tolist(), ends[~mask].tolist())])

@@ -1,16 +1,24 @@
 """Removal of byte strings that occur more than once, by distributed prefix doubling.
 
-Spark ranks positions by the text that starts there, at lengths that double
-from `gram` to `length`, and drops what is unique at each rank (`repeats.py`).
-Plain doubling over every byte would shuffle at least 16 bytes for each byte of
-text and round; so the ranked positions are the content-defined anchors, about
-one byte in 85, and a run of windows is ranked with its anchor.  The result is
-the same as over all positions.
-
-Defined results: a null text is empty; matches never cross documents; texts
-shorter than `length` are kept; repeated rows are repeats like any other, and
-each gets the result of its id; a row with a null key is kept whole and takes
-no part.  An id names one text.  Only key and text are read.
+Spark ranks positions by the text that starts there, at lengths that double from
+`gram` to `length` (32, 64, 128, 200).  At each length, rows of (name of the position,
+content of its run of windows) are shuffled and sorted by name; what is unique or
+wholly equal is settled and leaves, and only the rest goes to the next length.  There
+a position's name is the name of the pair of the names at the position and at the
+position plus the offset that is added, as in prefix doubling over a suffix array;
+names are 64-bit fingerprints of the pair, since only their equality is asked for.
+
+Plain doubling over every byte would shuffle at least 16 bytes for each byte of text
+and round; so the ranked positions are content-defined anchors (`repeats.py`), about
+one byte in 85 at the first length and every byte of what is still open at the last.
+The result is the same as over all positions.  All that is contested goes through all
+lengths, whatever the size of its group: rows of a large group are shuffled by name and
+content, and never gathered in a task.
+
+Defined results: a null text is empty; matches never cross documents; texts shorter
+than `length` are kept; repeated rows are repeats like any other, and each gets the same
+result; different texts under one id are different documents; a row with a null key is
+kept whole and takes no part; an empty table gives one.  Only key and text are read.
 """
 
 from __future__ import annotations
@@ -19,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import repeats as R
-from pagemill.runtime import written
+from pagemill.runtime import scratch, written
 
 
 def levels(gram: int, length: int) -> tuple[int, ...]:
@@ -30,15 +38,14 @@ def levels(gram: int, length: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def remove_repeats(df: DataFrame, length: int = 200, gram: int = 32, bound: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = 200, gram: int = 32, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept): kept has the bytes in no repeated window."""
-    units = R.Units(words=False, length=length, grams=levels(gram, length), ordered=False, bound=bound)
-    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    rows = R.run_rows(docs, units).withColumns({"ord": F.lit(0).cast("long"), "need": F.lit(True), "copies": F.lit(1)})
-    kept = written(R.repeated(units, R.anchor_totals(rows)), "anchors")
-    met = written(R.meet(units, rows, kept), "met")
-    covered, contested = R.judge(units, met)
-    for more in R.settle_contested(units, written(contested, "contested"), docs):
-        covered = covered.union(more)
-    out = R.apply_cover(units, docs, written(covered, "covered"))
+    units = R.Units(words=False, length=length, grams=levels(gram, length), ordered=False)
+    docs = R.keyed(df, text, key)
+    with scratch(df.sparkSession):
+        rows = written(R.run_rows(docs, units).withColumns({"ord": F.lit(0).cast("long"), "need": F.lit(True), "copies": F.lit(1)}), "positions")
+        met = R.meet(units, rows, written(R.repeated(units, R.anchor_totals(rows)), "anchors"))
+        covered, contested = R.judge(units, written(met, "met"))
+        covered = covered.union(R.settle_by_ranks(units, written(contested, "contested"), docs))
+        out = R.apply_cover(units, docs, covered)
     return out.withColumnsRenamed({"key": key, "n_units": "n_bytes"})

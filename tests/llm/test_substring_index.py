@@ -62,20 +62,54 @@ def test_equals_brute_force(spark, batches, bound):
     assert found == brute(docs, 50)
 
 
-def test_batch_by_batch_with_compaction(spark):
+def test_batch_by_batch_with_compaction(spark, tmp_path):
+    """The index is closed and opened again from its folder before every batch."""
     docs = corpus()
-    index = S.FingerprintIndex(spark, S.word_units(), fanout=2)
+    folder = str(tmp_path / "index")
+    index = S.FingerprintIndex(spark, S.word_units(), fanout=2, folder=folder)
     found, seen = {}, []
     for at in range(0, len(docs), 40):
         some = docs[at : at + 40]
         batch = S.keyed(spark.createDataFrame([(d, t, "", 0, 0) for d, t in some], SCHEMA))
         library = S.keyed(spark.createDataFrame([(d, t, "", 0, 0) for d, t in seen], SCHEMA))
+        if at:
+            index.close()
+            index = S.FingerprintIndex.open(spark.newSession(), folder, fanout=2)
         found |= {r["key"]: (r["n_units"], r["n_removed"], bytes(r["kept"]).decode()) for r in S.add_batch(index, batch, library).collect()}
-        assert len(index.runs) <= 2
+        assert len(index.runs) <= 2 and index.last == some[-1][0]
         seen += some
-    index.close()
+    with pytest.raises(ValueError):
+        S.add_batch(index, batch, library)
+    assert S.add_batch(index, batch.where("key < 0")).count() == 0
+    index.remove()
+    with pytest.raises(FileNotFoundError):
+        S.FingerprintIndex.open(spark, folder)
     assert found == brute(docs, 50)
 
 
+def test_two_texts_under_one_id(spark):
+    r = random.Random(3)
+    one, two, three = (" ".join(str(r.randrange(10**9)) for _ in range(80)) for _ in range(3))
+    rows = [(1, one), (1, two), (2, one), (2, three), (3, two + " " + three)]
+    df = spark.createDataFrame([(d, t, "", 1, 1) for d, t in rows], SCHEMA).repartition(3)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in S.remove_repeats(df).collect())
+    assert got == [(1, 80, 0), (1, 80, 0), (2, 80, 0), (2, 80, 80), (3, 160, 160)]
+
+
+def test_windows_of_one_hash_are_compared_by_bytes(monkeypatch):
+    """With a hash that takes all windows for equal, only equal bytes count."""
+    import numpy as np
+    import pyarrow as pa
+
+    units = S.word_units(3, 2)
+    segs = [b"a b c d", b"x b c d", b"b c d"]
+    table = pa.table([pa.array(c) for c in ([7, 7, 7], [1, 2, 3], [0, 0, 0], [0, 0, 0], np.array([2, 2, 1], np.int32), [1, 2, 3], [True] * 3, [1, 1, 1], segs)], list("abcdefghi"))
+    want = [(2, 1, 1), (3, 0, 1)]
+    plain = S.R._compare(units, table).to_pydict()
+    monkeypatch.setattr(S.R.A, "span_hash", lambda prefix, a, z: np.zeros(len(a), np.uint64))
+    blind = S.R._compare(units, table).to_pydict()
+    assert list(zip(plain["key"], plain["at"], plain["n"])) == want == list(zip(blind["key"], blind["at"], blind["n"]))
+
+
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -2,7 +2,6 @@ import random
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from pagemill.llm import anchors, suffix
 
@@ -37,11 +36,10 @@ def corpus(seed=2):
     return texts
 
 
-@pytest.mark.parametrize("bound", [4096, 3])
-def test_equals_brute_force(spark, bound):
+def test_equals_brute_force(spark):
     texts = corpus()
     df = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in enumerate(texts)] + [(None, texts[5], None, None, None)], SCHEMA).repartition(3)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix.remove_repeats(df, 200, 32, bound).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix.remove_repeats(df, 200, 32).collect()}
     want = brute(texts, 200)
     assert got.pop(None)[1] == 0
     assert got == dict(enumerate(want))
@@ -64,3 +62,24 @@ def test_runs_cut_at_blocks_keep_every_window(monkeypatch):
         assert at[0] == 0 and (at[1:] == at[:-1] + n[:-1]).all() and at[-1] + n[-1] == len(units) - 49
     spread = lambda x: np.repeat(x[2], x[1])
     assert (spread(whole) == spread(parts)).all()
+
+
+def test_two_texts_under_one_id(spark):
+    r = random.Random(3)
+    one, two, three = (" ".join(str(r.randrange(10**9)) for _ in range(60)) for _ in range(3))
+    df = spark.createDataFrame([(1, one, "", 1, 1), (1, two, "", 1, 1), (2, one, "", 1, 1), (2, two[:150] + three, "", 1, 1), (2, None, "", 1, 1)], SCHEMA).repartition(4)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix.remove_repeats(df).collect())
+    assert got == sorted([(1, len(one), len(one)), (1, len(two), 0), (2, len(one), len(one)), (2, 150 + len(three), 0), (2, 0, 0)])
+
+
+def test_names_are_those_of_pairs():
+    raw = np.frombuffer(corpus()[10].encode() * 3, np.uint8)
+    units = suffix.R.Units(words=False, length=200, grams=(32, 64, 128, 200), ordered=False)
+    prefix = anchors.prefix_hash(suffix.R.BYTE_CODE[raw])
+    for level, size in enumerate(units.grams):
+        names = units.names(prefix, level)
+        assert len(names) == len(raw) - size + 1
+        seen = {}
+        for i, x in enumerate(names.tolist()):
+            assert seen.setdefault(x, raw[i : i + size].tobytes()) == raw[i : i + size].tobytes()
+        assert len(seen) == len({raw[i : i + size].tobytes() for i in range(len(names))})
