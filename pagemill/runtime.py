@@ -57,13 +57,13 @@ _scratch: list[list[str]] = []
 def written(df: DataFrame, tag: str, result: bool = False) -> DataFrame:
     """Write to the shared folder as Parquet and read back: cuts lineage and survives lost executors.
 
-    Inside of `scratch`, the folder goes with it, unless it is a result.
+    Inside of `scratch`, the folder goes with it; a result goes with the one around it, if any.
     """
     spark = df.sparkSession
     path = shared_folder(spark, tag)
     df.write.parquet(path)
-    if _scratch and not result:
-        _scratch[-1].append(path)
+    if len(_scratch) > result:
+        _scratch[-1 - result].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
