@@ -136,10 +136,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 
     # the values in the documents, at the places that met
     places = met_pairs.where(F.size("slots") > 0).select("key", "th", "p", "size").distinct().groupBy("key", "th").agg(F.collect_list(F.struct("p", "size")).alias("at"))
-    some = texts.join(small_side(met_pairs.where(F.size("slots") > 0).select("key", "th").distinct()), ["key", "th"], "left_semi").dropDuplicates(["key", "th"])
-    split = some.join(places, ["key", "th"]).select("key", "th", words(F.col("text")).alias("w"), F.explode("at").alias("at"))
+    some = texts.join(small_side(met_pairs.where(F.size("slots") > 0).select("key", "th").distinct()), ["key", "th"], "left_semi")
+    # words are made below the join, once a text: above, they would be made once a place
+    split = some.select("key", "th", words(F.col("text")).alias("w")).dropDuplicates(["key", "th"]).join(places, ["key", "th"]).select("key", "th", "w", F.explode("at").alias("at"))
     values = split.select("key", "th", "at.p", "at.size", _slots(F.slice("w", F.col("at.p"), F.col("at.size"))).alias("there"))
     zipped = met_pairs.join(values, ["key", "th", "p", "size"]).select(*which, "rule", F.explode(F.arrays_zip(F.col("slots").alias("a"), F.col("there").alias("b"))).alias("z")).select(*which, "rule", "z.a", "z.b").distinct()
+    zipped = written(zipped, "values")
     apart = F.col("a").startswith(NAME) | F.col("a").startswith(UNIT)
     wrong = (F.col("a") != F.col("b")) & ((F.col("rule") == 2) | ((F.col("rule") == 1) & apart))
     by_a = zipped.groupBy(*which, "a").agg(F.countDistinct("b").alias("n"), F.min("b").alias("b"), F.max(wrong).alias("wrong"))
