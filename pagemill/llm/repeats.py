@@ -15,7 +15,9 @@ Equal contents are settled, one of them staying as a witness.  The rest is settl
 * or by `settle_by_texts`: windows of one anchor are compared in one task, bytes
   included; anchors with too many or too large runs are first cut anew as above.
 
-Rows of runs: key, th, at (first window), n (windows), mh, s, ord, need, copies.
+Rows of runs: key, th, at (first window), n (windows), mh, s, ord, need, copies.  The
+texts of contested runs of the first level, segments, stay in a table of their own; runs
+of later levels name theirs by base, its first window, and texts aren't joined by rank.
 (key, th) names a text: th tells apart different texts under one key.
 *Ordered*: a window is covered if an equal one has a smaller `ord`.
 *Unordered*: a window is covered if an equal one stands anywhere else.
@@ -33,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import anchors as A
-from pagemill.runtime import ship_package, small_side, written
+from pagemill.runtime import scratch, ship_package, small_side, written
 
 BYTE_CODE = A.mix(np.arange(1, 257, dtype=np.uint64))
 NAME = ["key", "th"]
 ROWS = "key long, th long, at long, n int, mh long, s long"
-SEGMENTS = f"{ROWS}, ord long, need boolean, copies int, seg binary"
-FIELDS = ["key", "th", "at", "n", "mh", "s", "ord", "need", "copies", "seg"]
-KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+PLACED = f"{ROWS}, ord long, need boolean, copies int, base long"
+FIELDS = ["key", "th", "at", "n", "mh", "s", "ord", "need", "copies", "base", "seg"]
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary())
 #: Bytes of segments that are cut or compared at once.
 CHUNK = 1 << 20
 
@@ -151,9 +153,10 @@ def run_rows(docs: DataFrame, units: Units) -> DataFrame:
     return some.select("key", "th", "text").mapInArrow(run, ROWS)
 
 
-def anchor_totals(rows: DataFrame) -> DataFrame:
+def anchor_totals(rows: DataFrame, ordered: bool = True) -> DataFrame:
     """Per anchor: least and greatest content, copies, least and greatest ord."""
-    return rows.groupBy("mh").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("copies").alias("total"), F.min("ord").alias("first"), F.max("ord").alias("last"))
+    order = [F.min("ord").alias("first"), F.max("ord").alias("last")] if ordered else [F.lit(None).cast("long").alias("first")]
+    return rows.groupBy("mh").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("copies").alias("total"), *order)
 
 
 def repeated(units: Units, totals: DataFrame) -> DataFrame:
@@ -183,7 +186,7 @@ def judge(units: Units, met: DataFrame) -> tuple[DataFrame, DataFrame]:
         stay = (F.col("same") == 1) | (F.struct(*NAME, "at") == F.col("rep"))
         need, copies = F.col("need") & (F.col("same") == 1), F.least(F.col("same"), F.lit(2))
     covered = covered.union(told.where(out).select(*NAME, "at", "n"))
-    carried = [x for x in ("seg",) if x in met.columns]
+    carried = [x for x in ("base",) if x in met.columns]
     contested = told.where(stay).select(*NAME, "at", "n", "mh", "s", "ord", need.alias("need"), copies.cast("int").alias("copies"), *carried)
     wanted = contested.groupBy("mh").agg(F.max("need").alias("wanted")).where("wanted").select("mh")
     return covered, contested.join(wanted, "mh").select(*NAME, "at", "n", "mh", "s", "ord", "need", "copies", *carried)
@@ -195,17 +198,14 @@ def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def fetch_segments(units: Units, contested: DataFrame, docs: DataFrame) -> DataFrame:
-    """Contested rows with their text, from docs (key, th, text)."""
+    """Contested rows of the first level with their text, from docs (key, th, text)."""
     wanted = contested.groupBy(*NAME).agg(F.collect_set(F.struct("at", "n", "mh", "s", "ord", "need", "copies")).alias("runs"))
     some = texts_of(docs, written(contested.select(*NAME).distinct(), "names"))
     joined = some.join(wanted, NAME).select(*NAME, "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches, 2):
-            lists = batch.column(3)
-            flat = lists.flatten()
-            at, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            per = np.diff(lists.offsets.to_numpy())
+            flat, at, n, per = _runs_of(batch, 3)
             segs: list[bytes] = []
             place = 0
             for text, count in zip(batch.column(2).to_pylist(), per.tolist()):
@@ -216,20 +216,53 @@ def fetch_segments(units: Units, contested: DataFrame, docs: DataFrame) -> DataF
                 segs += [data[x:y] for x, y in zip(a.tolist(), z.tolist())]
                 place += count
             names = [pa.array(np.repeat(batch.column(i).to_numpy(), per)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*names, *(flat.field(i) for i in range(7)), pa.array(segs, pa.binary())], FIELDS)
+            yield pa.RecordBatch.from_arrays([*names, *(flat.field(i) for i in range(7)), pa.array(at), pa.array(segs, pa.binary())], FIELDS)
 
-    return joined.mapInArrow(run, SEGMENTS)
+    return joined.mapInArrow(run, f"{PLACED}, seg binary")
+
+
+def _runs_of(batch: pa.RecordBatch, column: int) -> tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray]:
+    """The structs in a column of lists, their `at` and `n`, and how many each row has."""
+    lists = batch.column(column)
+    flat = lists.flatten()
+    at, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    return flat, at, n, np.diff(lists.offsets.to_numpy())
+
+
+def with_texts(units: Units, rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """Contested rows of a later level with their text, from the segments they are parts of."""
+    wanted = rows.groupBy(*NAME, "base").agg(F.collect_set(F.struct("at", "n", "mh", "s", "ord", "need", "copies")).alias("runs"))
+    joined = segments.select(*NAME, "base", "seg").join(wanted, [*NAME, "base"]).select(*NAME, "base", "seg", "runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches, 3, CHUNK):
+            flat, at, n, per = _runs_of(batch, 4)
+            base = np.repeat(batch.column(2).to_numpy(), per)
+            segs: list[bytes] = []
+            place = 0
+            for seg, count in zip(batch.column(3).to_pylist(), per.tolist()):
+                a = at[place : place + count] - base[place : place + count]
+                z = a + n[place : place + count] + units.length - 1
+                if units.words:
+                    starts, ends = A.word_spans(seg)
+                    a, z = starts[a], ends[z - 1]
+                segs += [seg[x:y] for x, y in zip(a.tolist(), z.tolist())]
+                place += count
+            names = [pa.array(np.repeat(batch.column(i).to_numpy(), per)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*names, *(flat.field(i) for i in range(7)), pa.array(base), pa.array(segs, pa.binary())], FIELDS)
+
+    return joined.mapInArrow(run, f"{PLACED}, seg binary")
 
 
 def recut(units: Units, rows: DataFrame, level: int) -> DataFrame:
-    """Runs of the rows' segments under the level's anchors; at the last level, without their texts."""
+    """Runs, without texts, of the rows' texts under the level's anchors."""
     gram = units.grams[level]
-    chosen = rows.select(*NAME, "at", "n", "ord", "need", "copies", "seg")
+    chosen = rows.select(*NAME, "at", "n", "ord", "need", "copies", "base", "seg")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches, 7, CHUNK):
-            key, th, at, n, order, need, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-            j = Joined(units, n, batch.column(7).to_pylist())
+        for batch in _small(batches, 8, CHUNK):
+            key, th, at, n, order, need, copies, base = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(8))
+            j = Joined(units, n, batch.column(8).to_pylist())
             names = units.names(j.prefix, level)
             place = np.arange(len(names), dtype=np.uint64)
             anchor = (A.sliding_min((names & A.HIGH32) | place, units.length - gram + 1) & A.LOW32)[j.start]
@@ -238,29 +271,31 @@ def recut(units: Units, rows: DataFrame, level: int) -> DataFrame:
             count = np.diff(np.append(head, len(anchor)))
             start, o = j.start[head], j.owner[head]
             s = A.span_hash(j.prefix, start, start + count + units.length - 1)
-            segs = [None] * len(head) if gram == units.length else [j.bytes_of(a, c) for a, c in zip(start.tolist(), count.tolist())]
-            columns = (key[o], th[o], at[o] + j.within[head], count, names[anchor[head].astype(np.int64)].view(np.int64), s.view(np.int64), order[o], need[o], copies[o], segs)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS)], FIELDS)
+            columns = (key[o], th[o], at[o] + j.within[head], count, names[anchor[head].astype(np.int64)].view(np.int64), s.view(np.int64), order[o], need[o], copies[o], base[o])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS)], FIELDS[:10])
 
-    return chosen.mapInArrow(run, SEGMENTS)
+    return chosen.mapInArrow(run, PLACED)
 
 
 def _level(units: Units, rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """(covered, contested) of rows with segments, ranked again under the level's anchors."""
-    cut = written(recut(units, rows, level), "level")
-    met = meet(units, cut, written(repeated(units, anchor_totals(cut)), "anchors"))
-    return judge(units, written(met, "met"))
+    """(covered, contested), written, of rows with texts, ranked again under the level's anchors."""
+    with scratch(rows.sparkSession):
+        cut = written(recut(units, rows, level), "level")
+        met = meet(units, cut, written(repeated(units, anchor_totals(cut, units.ordered)), "anchors"))
+        covered, contested = judge(units, written(met, "met"))
+        return written(covered, "covered", result=True), written(contested, "contested", result=True)
 
 
 def settle_by_ranks(units: Units, contested: DataFrame, docs: DataFrame) -> DataFrame:
     """Covered runs of the contested rows of the first level: all are ranked again, level by level."""
-    rows = fetch_segments(units, contested, docs)
-    covered = None
+    segments = rows = written(fetch_segments(units, contested, docs), "segments")
+    covered = contested.select(*NAME, "at", "n").where(F.lit(False))
     for level in range(1, len(units.grams)):
-        more, rows = _level(units, written(rows, "segments"), level)
-        covered = more if covered is None else covered.union(more)
-    # at the last level windows are their own anchors, and nothing is contested
-    return covered if covered is not None else contested.select(*NAME, "at", "n").where(F.lit(False))
+        more, left = _level(units, rows, level)
+        covered = covered.union(more)
+        # at the last level windows are their own anchors, and nothing is left
+        rows = with_texts(units, left, segments)
+    return covered
 
 
 def _compare(units: Units, table: pa.Table) -> pa.RecordBatch:
@@ -327,18 +362,17 @@ def compare(units: Units, rows: DataFrame) -> DataFrame:
 
 def settle_by_texts(units: Units, contested: DataFrame, docs: DataFrame) -> DataFrame:
     """Covered runs of the contested rows of the first level: texts are compared, of large anchors after further levels."""
-    rows = fetch_segments(units, contested, docs)
-    covered = None
+    segments = rows = written(fetch_segments(units, contested, docs), "segments")
+    covered = contested.select(*NAME, "at", "n").where(F.lit(False))
     for level in range(len(units.grams)):
-        rows = written(rows, "segments")
         size = rows.groupBy("mh").agg(F.count("*").alias("rows"), F.sum(F.octet_length("seg")).alias("bytes"))
         large = written(size.where((F.col("rows") > units.bound) | (F.col("bytes") > units.heavy)).where("rows > 1").select("mh"), "large")
-        more = compare(units, rows.join(small_side(large), "mh", "left_anti"))
-        covered = more if covered is None else covered.union(more)
+        covered = covered.union(compare(units, rows.join(small_side(large), "mh", "left_anti")))
         if level + 1 == len(units.grams) or large.isEmpty():
             break
-        more, rows = _level(units, rows.join(small_side(large), "mh", "left_semi"), level + 1)
+        more, left = _level(units, rows.join(small_side(large), "mh", "left_semi"), level + 1)
         covered = covered.union(more)
+        rows = written(with_texts(units, left, segments), "parts")
     return covered
 
 

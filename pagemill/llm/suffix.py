@@ -1,7 +1,7 @@
 """Removal of byte strings that occur more than once, by distributed prefix doubling.
 
-Spark ranks positions by the text that starts there, at lengths that double from
-`gram` to `length` (32, 64, 128, 200).  At each length, rows of (name of the position,
+Spark ranks positions by the text that starts there, at lengths that double from `gram`
+and then close in on `length` (32, 64, 128, 164, 200).  At each length, rows of (name of the position,
 content of its run of windows) are shuffled and sorted by name; what is unique or
 wholly equal is settled and leaves, and only the rest goes to the next length.  There
 a position's name is the name of the pair of the names at the position and at the
@@ -31,10 +31,11 @@ from pagemill.runtime import scratch, written
 
 
 def levels(gram: int, length: int) -> tuple[int, ...]:
-    """gram, doubled until the window length is reached."""
+    """gram, doubled while that stays below the window length; then half of what is missing, then the length."""
     out = [min(gram, length)]
     while out[-1] < length:
-        out.append(min(2 * out[-1], length))
+        missing = length - out[-1]
+        out.append(2 * out[-1] if out[-1] < missing else length if missing <= length // 5 else out[-1] + -(-missing // 2))
     return tuple(out)
 
 
@@ -44,7 +45,7 @@ def remove_repeats(df: DataFrame, length: int = 200, gram: int = 32, text: str =
     docs = R.keyed(df, text, key)
     with scratch(df.sparkSession):
         rows = written(R.run_rows(docs, units).withColumns({"ord": F.lit(0).cast("long"), "need": F.lit(True), "copies": F.lit(1)}), "positions")
-        met = R.meet(units, rows, written(R.repeated(units, R.anchor_totals(rows)), "anchors"))
+        met = R.meet(units, rows, written(R.repeated(units, R.anchor_totals(rows, ordered=False)), "anchors"))
         covered, contested = R.judge(units, written(met, "met"))
         covered = covered.union(R.settle_by_ranks(units, written(contested, "contested"), docs))
         out = R.apply_cover(units, docs, covered)
