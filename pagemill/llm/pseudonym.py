@@ -8,9 +8,12 @@ different ones different pseudonyms, and the holder of the key can invert it.
 
 Kinds: email (local part), aws_key, secret (value after password= and the like;
 hexadecimal stays so), ipv4, card (issuer digit kept, check digit recomputed),
-phone (country code kept), ssn, date (within 1800 to 2199).
+phone (country code kept; the same number gets the same digits however it is written,
+with or without +1; without a country code or brackets, its area and exchange must begin
+with 2 to 9; ten digits in a row without a plus are no phone), ssn, date (1800 to 2199).
 
-Rounds use SHA-256 of key, kind, round and the other half.
+Rounds use SHA-256 of key, kind, round and the other half.  The key has no default: whoever
+has it can invert the pseudonyms.  `session_key` reads it from a setting of the session.
 
 Defined results: a null text stays null with nothing found; an empty text stays
 empty; the key column may be null; repeated rows give repeated results; all
@@ -19,11 +22,13 @@ other columns are untouched, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "pagemill"
+KEY_SETTING = "spark.pagemill.pseudonym.key"
 #: The formats that are looked for. All start at a word's begin, so scanning is linear.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
@@ -33,7 +38,7 @@ PATTERNS = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z\-/])",
     "card": r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z\-])",
+    "phone": r"(?:(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}|\+1[0-9]{10})(?![0-9A-Za-z\-])",
 }
 # a card's number doesn't run on into another value after a blank
 _OTHER = "|".join(PATTERNS[k] for k in ("ssn", "date", "ipv4"))
@@ -53,15 +58,22 @@ def _once(value: Column, step) -> Column:
     return F.get(F.transform(F.array(value), step), F.lit(0))
 
 
-def _digest(kind: str, turn: Column, half: Column, key: str) -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind), turn.cast("string"), half.cast("string")), 256)
+def session_key(spark: SparkSession) -> str:
+    """The session's key; where none is set, a random one is made and set, so that values are linked within the session only."""
+    key = spark.conf.get(KEY_SETTING, "") or secrets.token_hex(32)
+    spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def _digest(kind: str | Column, turn: Column, half: Column, key: str) -> Column:
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind) if isinstance(kind, str) else kind, turn.cast("string"), half.cast("string")), 256)
 
 
-def _number_from(digest: Column, modulus: int) -> Column:
+def _number_from(digest: Column, modulus: int | Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(modulus))
 
 
-def feistel_number(value: Column, high: int, low: int, kind: str, key: str = KEY, rounds: int = ROUNDS) -> Column:
+def feistel_number(value: Column, high: int | Column, low: int, kind: str | Column, key: str, rounds: int = ROUNDS) -> Column:
     """Permutation of 0 .. high*low-1: the two digits of mixed radix are shifted by turns."""
     start = F.struct((F.floor(value / low)).cast("long").alias("l"), F.pmod(value.cast("long"), F.lit(low)).cast("long").alias("r"))
 
@@ -90,7 +102,7 @@ def _shift(text: Column, digest: Column, hexadecimal: bool) -> Column:
     return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), ""))
 
 
-def feistel_text(text: Column, kind: str, key: str = KEY, rounds: int = ROUNDS, hexadecimal: bool = False) -> Column:
+def feistel_text(text: Column, kind: str | Column, key: str, rounds: int = ROUNDS, hexadecimal: bool = False) -> Column:
     """Permutation of the texts of one form: every letter and digit keeps its class and place."""
 
     def permuted(t: Column) -> Column:
@@ -165,7 +177,7 @@ def _whole_card(match: Column, key: str) -> Column:
         n = F.length(d)
         body = F.concat(F.substr(d, F.lit(1), F.lit(1)), feistel_text(F.substr(d, F.lit(2), n - 2), "card", key))
         whole = _once(body, lambda b: F.concat(b, F.pmod(10 - F.pmod(_luhn_sum(b, 0), F.lit(10)), F.lit(10)).cast("string")))
-        return F.when(F.pmod(_luhn_sum(d, 1), F.lit(10)) == 0, _refill(match, whole)).otherwise(match)
+        return F.when(F.pmod(_luhn_sum(d, 1), F.lit(10)) == 0, _once(whole, lambda w: _refill(match, w))).otherwise(match)
 
     return _once(_digits(match), changed)
 
@@ -222,8 +234,38 @@ def _secret(match: Column, key: str) -> Column:
 
 
 def _phone(match: Column, key: str) -> Column:
-    code = F.regexp_extract(match, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)
-    return F.concat(code, feistel_text(F.substr(match, F.length(code) + 1), "phone", key))
+    """The digits behind the country code changed.
+
+    In the North American plan (no code, or 1), areas and exchanges that begin with 2 to 9
+    (800 each) stay so, and the 200 others stay others.
+    """
+
+    def parts(d: Column) -> Column:
+        national = F.right(d, F.lit(10))
+        place = lambda i, n: F.substr(national, F.lit(i), F.lit(n)).cast("long")
+        return F.struct(F.left(d, F.length(d) - 10).alias("code"), national.alias("national"), place(1, 3).alias("area"), place(4, 3).alias("exchange"), place(7, 4).alias("line"))
+
+    def placed(p: Column) -> Column:
+        low = lambda c: F.when(p[c] >= 200, 200).otherwise(0).cast("long")
+        size = lambda c: F.when(p[c] >= 200, 800).otherwise(200).cast("long")
+        kind = F.concat(F.lit("phone"), (p["area"] >= 200).cast("int").cast("string"), (p["exchange"] >= 200).cast("int").cast("string"))
+        rank = ((p["area"] - low("area")) * size("exchange") + p["exchange"] - low("exchange")) * 10_000 + p["line"]
+        return F.struct(p["code"].alias("code"), p["national"].alias("national"), low("area").alias("a"), low("exchange").alias("e"), size("exchange").alias("m"), (size("area") * size("exchange")).alias("high"), kind.alias("kind"), rank.alias("rank"))
+
+    def digits(p: Column) -> Column:
+        pad = lambda x, n: F.lpad(x.cast("long").cast("string"), n, "0")
+
+        def spelled(v: Column) -> Column:
+            high = F.floor(v / 10_000)
+            return F.concat(pad(F.floor(high / p["m"]) + p["a"], 3), pad(F.pmod(high, p["m"]) + p["e"], 3), pad(F.pmod(v, F.lit(10_000)), 4))
+
+        home = _once(feistel_number(p["rank"], p["high"], 10_000, p["kind"], key), spelled)
+        abroad = feistel_text(p["national"], F.concat(F.lit("phone"), p["code"]), key)
+        return F.concat(p["code"], F.when(p["code"].isin("", "1"), home).otherwise(abroad))
+
+    changed = _once(_once(_once(_once(_digits(match), parts), placed), digits), lambda new: _refill(match, new))
+    marked = match.startswith("+") | match.contains("(")
+    return F.when(marked | match.rlike(r"^[2-9]..[ .\-][2-9]"), changed).otherwise(match)
 
 
 def kind_of(match: Column) -> Column:
@@ -235,7 +277,7 @@ def kind_of(match: Column) -> Column:
     return out
 
 
-def pseudonym(match: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(match: Column, kind: Column, key: str) -> Column:
     at = F.instr(match, "@")
     return (
         F.when(kind == "email", F.concat(feistel_text(F.substr(match, F.lit(1), at - 1), "email", key), F.substr(match, at)))
@@ -250,7 +292,7 @@ def pseudonym(match: Column, kind: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymised(text: Column, key: str = KEY) -> Column:
+def pseudonymised(text: Column, key: str) -> Column:
     """Struct (text, n_replaced): the text with all validated values replaced."""
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     changed = F.transform(found, lambda m: pseudonym(m, kind_of(m), key))
@@ -266,7 +308,7 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike(MAY_HOLD) & (F.size(found) > 0), _once(changed, joined)).otherwise(untouched)
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(row, text, n_replaced): row is the whole input row, so that no name can clash."""
     chosen = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), pseudonymised(F.col(f"`{text}`").cast("string"), key).alias("p"))
     return chosen.select("row", "p.text", "p.n_replaced")

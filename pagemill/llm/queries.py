@@ -33,7 +33,10 @@ def op3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive(table(spark, sf_dir, "pages"))
-    found = warc.read(spark, folder, "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string", verify="true")
+    columns = "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"
+    # predicates go into the reader: payloads of responses are checked against their digests, revisits are headers only
+    responses = warc.read(spark, folder, columns, verify="true").where("record_type = 'response'")
+    found = responses.union(warc.read(spark, folder, columns).where("record_type = 'revisit'"))
     number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
@@ -53,7 +56,7 @@ def op7_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonym.pseudonymise(table(spark, sf_dir, "documents")).select("row.doc_id", "n_replaced", "text")
+    return pseudonym.pseudonymise(table(spark, sf_dir, "documents"), pseudonym.session_key(spark)).select("row.doc_id", "n_replaced", "text")
 
 
 def op9_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Reading plans whole files into partitions of about `partition_bytes`.  Equality,
 set and prefix predicates on the header columns are pushed into the reader; each
 record's header is parsed first, and a record that fails a predicate is passed
-over by its length.  The payload is only kept if its column is asked for; with
+over by its length (in a .gz file its bytes are still inflated, since members don't say
+how long they are, but neither parsed nor kept).  The payload is only kept if its column is asked for; with
 `verify` the payloads that are read are checked against their digests.
 
 Writing makes one file after another of about `file_bytes` per task, under a
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from pagemill.runtime import shared_folder, ship_package
+from pagemill.runtime import shared_folder, ship_package, small_side, written
 from pagemill.sources.files import listed, located
 
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, date string, content_type string, payload_digest string, block_bytes long, payload_bytes long, path string, record_offset long, payload binary"
@@ -322,17 +323,20 @@ def register(spark: SparkSession) -> None:
 def records(pages: DataFrame, least: int = 0, key: str = "page_id", uri: str = "url", payload: str = "html", scheme: str = "urn:page:") -> DataFrame:
     """Rows to write: equal payloads of at least `least` bytes become revisits of the greatest key's.
 
-    Payloads are grouped by SHA-1 and length, pre-aggregated before the
-    shuffle; a payload's text moves once, and not at all for a revisit.
-    Rows that repeat the greatest key are responses too; rows with a null key
-    are responses with an empty id.
+    Payloads are grouped by SHA-256 (their digest in the record is SHA-1), pre-aggregated
+    before the shuffle. If the groups of two or more are few (counted), they are sent to
+    the payloads, which then don't move; else each payload moves once.
+    Rows that repeat the greatest key are responses too; rows with a null key are
+    responses with an empty id; null and empty payloads are equal; an empty table makes no
+    record; a very long payload is one record like any other; of the columns only key,
+    address and payload are looked at.
     """
     data = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     base = pages.select(F.col(key).cast("long").alias("k"), F.col(uri).cast("string").alias("target_uri"), data.alias("data"))
-    base = base.withColumns({"payload_sha1": F.sha1("data"), "payload_bytes": F.octet_length("data").cast("long")})
-    groups = base.select("k", "payload_sha1", "payload_bytes").where(F.col("payload_bytes") >= least).groupBy("payload_sha1", "payload_bytes").agg(F.max("k").alias("last"), F.min("k").alias("least"))
-    shared = groups.where("last > least").select("payload_sha1", "payload_bytes", "last")
-    known = base.join(shared, ["payload_sha1", "payload_bytes"], "left")
+    base = base.withColumns({"payload_sha1": F.sha1("data"), "payload_sha256": F.unhex(F.sha2("data", 256)), "payload_bytes": F.octet_length("data").cast("long")})
+    groups = base.where(F.col("payload_bytes") >= least).select("k", "payload_sha256").groupBy("payload_sha256").agg(F.max("k").alias("last"), F.min("k").alias("least"))
+    shared = small_side(written(groups.where("last > least").select("payload_sha256", "last"), "payloads"))
+    known = base.join(shared, "payload_sha256", "left")
     again = F.coalesce(F.col("k") < F.col("last"), F.lit(False))
     named = lambda c: F.concat(F.lit(scheme), F.coalesce(c.cast("string"), F.lit("")))
     return known.select(
