@@ -13,9 +13,10 @@ alone.
 
 Defined results: a null or empty text is one empty passage and gets a score;
 null or conflicting labels: null labels are ignored, of several labels of a
-document the largest counts; without labels every score is 0.5; with one class
-the score is that class's smoothed share.  Repeated rows score alike; a null key
-is carried.
+document the largest counts, and of several texts of one id the least is learned from;
+without labels every score is 0.5; with one class the score is that class's smoothed
+share.  Repeated rows score alike; a null key is carried; very long texts are read whole;
+an empty table gives one; the input row is kept as a struct, so that no name can clash.
 """
 
 from __future__ import annotations
@@ -118,6 +119,20 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray):
     return _sigmoid(z @ w["c"] + w["d"]), h, t, g, share, z, bag
 
 
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted log loss of bags (x, first passages) with labels y, and 1e-4 / 2 times the squares of W and c."""
+    p, h, t, g, share, z, bag = _forward(w, x, first)
+    err = (p - y) * weight
+    dz = err[:, None] * w["c"]
+    dh = share[:, None] * dz[bag]
+    ds = (h * dz[bag]).sum(axis=1)
+    da = share * (ds - np.add.reduceat(share * ds, first)[bag])
+    dt, dg = da[:, None] * w["w"] * g * (1 - t**2), da[:, None] * w["w"] * t * g * (1 - g)
+    dh += dt @ w["V"].T + dg @ w["U"].T
+    du = dh * (1 - h**2)
+    return {"W": x.T @ du + 1e-4 * w["W"], "b": du.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ da, "c": z.T @ err + 1e-4 * w["c"], "d": err.sum()}
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, attention: int = 12, epochs: int = 30, seed: int = 11) -> Model:
     """Adam on the class-balanced log loss of document labels."""
     if len(labels) == 0 or labels.min() == labels.max():
@@ -136,16 +151,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, attention:
             some = order[at : at + 64]
             x = np.concatenate([bags[i] for i in some])
             first = np.concatenate([[0], np.cumsum([len(bags[i]) for i in some])[:-1]])
-            p, h, t, g, share, z, bag = _forward(w, x, first)
-            err = (p - labels[some]) * weight[some] / len(some)
-            dz = err[:, None] * w["c"]
-            dh = share[:, None] * dz[bag]
-            ds = (h * dz[bag]).sum(axis=1)
-            da = share * (ds - np.add.reduceat(share * ds, first)[bag])
-            dt, dg = da[:, None] * w["w"] * g * (1 - t**2), da[:, None] * w["w"] * t * g * (1 - g)
-            dh += dt @ w["V"].T + dg @ w["U"].T
-            du = dh * (1 - h**2)
-            grads = {"W": x.T @ du + 1e-4 * w["W"], "b": du.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ da, "c": z.T @ err + 1e-4 * w["c"], "d": err.sum()}
+            grads = gradients(w, x, first, labels[some], weight[some] / len(some))
             step += 1
             rate = 0.005 * min(1.0, 2 * (1 - epoch / epochs))
             for k, v in grads.items():
@@ -166,7 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, passages: int
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
     chosen = usable.groupBy(F.col(key).cast("long").alias("k")).agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
     # at most `sample` rows: the parameter bounds what is broadcast and collected
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "k").select("k", "y", "t")
+    copies = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "k")
+    # one text an id, the least, however many rows have it
+    texts = copies.groupBy("k", "y").agg(F.min("t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, passages: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, rows], ["k", "y", "n", "f"])
 
     bags = written(texts.mapInArrow(run, "k long, y int, n long, f binary"), "bags")
-    sizes = bags.groupBy("k").agg(F.max("n").alias("n")).orderBy(F.xxhash64("k"), "k").collect()
+    sizes = bags.select("k", "n").orderBy(F.xxhash64("k"), "k").collect()
     total = np.cumsum([r["n"] for r in sizes])
-    used = [r["k"] for r, t in zip(sizes, total.tolist()) if t <= max(sample * passages, sizes[0]["n"])]
+    used = [r["k"] for r, t in zip(sizes, total.tolist()) if t <= max(sample * passages, sizes[0]["n"])] if sizes else []
     rows = {r["k"]: (r["y"], r["f"]) for r in bags.where(F.col("k").isin(used)).select("k", "y", "f").collect()}
     ordered = [rows[k] for k in sorted(rows)]
     bags = [np.frombuffer(bytes(f), np.float32).reshape(-1, WIDTH) for _, f in ordered]
