@@ -9,11 +9,11 @@ Candidates: the 64 bits form a ring of ``limit + 1`` segments.  If two
 fingerprints differ in at most `limit` bits, then from some segment i on, for
 every length l, the differences in segments i .. i+l-1 sum to at most
 ``l * limit / (limit + 1)`` (strong pigeonring form): none in the first, one in
-the first two, two in the first three.  The first two conditions make an
-equality key: segment i as a whole, and one of the two halves of segment i+1,
-since one differing bit leaves a half unharmed.  That is two keys for each of
-the segments.  Within a key, the remaining chain lengths are tested, then the
-full distance.
+the first two, two in the first three.  These three conditions make an equality key:
+segment i as a whole, one of the two halves of segment i+1, since one differing bit
+leaves a half unharmed, and one of the three thirds of segment i+2, since two leave a
+third.  That is six keys of about 24 bits for each of the segments.  Within a key, all
+chain lengths are tested, then the full distance.
 
 Within a key's group, links are not listed: a breadth-first search over not yet
 reached fingerprints makes a spanning forest, at most one edge per fingerprint.
@@ -96,20 +96,24 @@ def _signed(x: int) -> int:
 
 
 def key_masks(limit: int) -> list[tuple[int, int]]:
-    """(first segment, mask of the key's bits): two halves for each segment."""
+    """(first segment, mask of the key's bits): a part of each of the two next segments, for each segment."""
     parts, out = ring(limit), []
     for i, (shift, width) in enumerate(parts):
-        after, size = parts[(i + 1) % len(parts)]
-        for a, w in ((after, size // 2), (after + size // 2, size - size // 2)):
-            out.append((i, _mask(shift, width) | _mask(a, w)))
+        masks = [_mask(shift, width)]
+        for ahead in range(1, min(3, limit)):
+            # at most `ahead` bits differ in the first ahead + 1 segments, so one of ahead + 1 pieces is unharmed
+            start, size = parts[(i + ahead) % len(parts)]
+            edges = [start + round(size * k / (ahead + 1)) for k in range(ahead + 2)]
+            masks = [m | _mask(a, z - a) for m in masks for a, z in zip(edges, edges[1:])]
+        out += [(i, m) for m in masks]
     return out
 
 
 def chain_masks(limit: int, first: int) -> list[tuple[int, int]]:
-    """(mask of segments first .. first+l-1, differences allowed in it) for l = 3 .. limit."""
+    """(mask of segments first .. first+l-1, differences allowed in it) for l = 2 .. limit."""
     parts, count = ring(limit), limit + 1
     out = []
-    for l in range(3, count):
+    for l in range(2, count):
         mask = 0
         for j in range(l):
             mask |= _mask(*parts[(first + j) % count])
@@ -244,17 +248,17 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 
 def sketches(df: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
-    """(key, fp, n, sketch): fp is a digest of the set of shingles, n its size."""
+    """(key, th, fp, n, sketch): th is the text's hash, fp a digest of the set of shingles, n its size."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             sets = [shingle_set(x, shingle) for x in batch.column(1).to_pylist()]
             columns = [pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "fp", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["key", "th", "fp", "n", "sketch"])
 
-    chosen = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "key long, fp binary, n long, sketch binary")
+    chosen = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), text_hash(F.col(text)).alias("th"))
+    return chosen.mapInArrow(run, "key long, th long, fp binary, n long, sketch binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: int) -> Iterator[pa.Table]:
@@ -384,14 +388,14 @@ def similar_pairs(sets: list[np.ndarray], block: np.ndarray, across: bool, simil
 
 
 def exact_links(df: DataFrame, members: DataFrame, shingle: int, similarity: float, tile: int, text: str, key: str) -> DataFrame:
-    """Spanning edges (u, v) within candidate classes, from members (rep, fp, n, candidate)."""
+    """Spanning edges (u, v) within candidate classes, from members (rep, lead, fp, n, candidate)."""
     ship_package(df.sparkSession)
-    texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
+    texts = df.select(F.col(key).cast("long").alias("lead"), F.col(text).cast("string").alias("text"))
     size = members.groupBy("candidate").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("rows") / F.lit(tile), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
     placed = members.join(size, "candidate").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = placed.select("rep", "fp", "candidate", F.explode(_tiles()).alias("tile"), "block")
-    found = texts.join(placed.select("rep", "fp"), "rep")
+    found = texts.join(placed.select("lead", "rep", "fp"), "lead").select("rep", "text", "fp")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -416,16 +420,34 @@ def exact_links(df: DataFrame, members: DataFrame, shingle: int, similarity: flo
 
 
 def similar_documents(df: DataFrame, shingle: int = 5, similarity: float = 0.8, tile: int = 20_000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, component): components of the links between texts of Jaccard similarity `similarity` or more.
+    """(key, th, class, component): classes of the links between texts of Jaccard similarity `similarity` or more.
 
-    Texts with the same set of shingles are one; texts without words have the
-    empty set. Other edge cases are as in near_duplicates.
+    th is the hash of the row's text, component the smallest key of the class. Texts
+    with the same set of shingles are one; texts without words have the empty set.
+    Different texts under one key are different documents. Other edge cases are as in
+    near_duplicates.
     """
     prints = written(sketches(df, shingle, text, key), "fingerprints")
-    distinct = written(prints.where("key IS NOT NULL").groupBy("fp").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "distinct")
+    merged = prints.where("key IS NOT NULL").groupBy("fp").agg(F.min("key").alias("lead"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # numbers of the distinct sets: made on a written table and written, so that they stay
+    distinct = written(written(merged, "merged").withColumn("rep", F.monotonically_increasing_id()), "distinct")
     candidates = components(candidate_links(distinct, tile)).withColumnRenamed("component", "candidate")
-    members = written(distinct.select("fp", "rep", "n").join(candidates, distinct["rep"] == candidates["node"]).select("rep", "fp", "n", "candidate"), "members")
-    merged = components(exact_links(df, members, shingle, similarity, tile, text, key))
-    named = distinct.join(merged, distinct["rep"] == merged["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = prints.select("key", "fp").join(named, "fp", "left").select("key", F.when(F.col("key").isNotNull(), F.col("component")).alias("component"))
-    return out.withColumnRenamed("key", key)
+    members = written(distinct.select("fp", "rep", "lead", "n").join(candidates, distinct["rep"] == candidates["node"]).select("rep", "lead", "fp", "n", "candidate"), "members")
+    linked = components(exact_links(df, members, shingle, similarity, tile, text, key)).withColumnRenamed("component", "class")
+    named = written(distinct.join(linked, distinct["rep"] == linked["node"], "left").select("fp", "lead", F.coalesce("class", "rep").alias("class")), "named")
+    least = named.groupBy("class").agg(F.min("lead").alias("component"))
+    out = prints.where("key IS NOT NULL").select("key", "th", "fp").join(named.join(least, "class").select("fp", "class", "component"), "fp").select("key", "th", "class", "component")
+    none = prints.where("key IS NULL").select("key", "th", F.lit(None).cast("long").alias("class"), F.lit(None).cast("long").alias("component"))
+    return out.unionByName(none).withColumnRenamed("key", key)
+
+
+def one_of_each(df: DataFrame, classes: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Of each class the rows' text of least key (and, of these, least hash), once; rows with a null key stay."""
+    first = written(classes.where(F.col(key).isNotNull()).groupBy("class").agg(F.min(F.struct(key, "th")).alias("r")).select(F.col(f"r.{key}").alias("_key"), F.col("r.th").alias("_th")), "first")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{key}`").cast("long").alias("_key"), text_hash(F.col(f"`{text}`")).alias("_th"))
+    kept = rows.where("_key IS NOT NULL").join(first, ["_key", "_th"], "left_semi").dropDuplicates(["_key", "_th"])
+    return kept.unionByName(rows.where("_key IS NULL")).select("_row.*")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
