@@ -115,7 +115,7 @@ def chunk_records(chunks: DataFrame, generation: str = "0") -> DataFrame:
     w = Window.partitionBy("document_name").orderBy(F.col("page_number").asc_nulls_first())
     before = per_page.withColumn("_before", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
     same_page = F.col("c.page_number").eqNullSafe(F.col("b.page_number"))
-    numbered = chunks.alias("c").join(before.alias("b"), (F.col("c.document_name") == F.col("b.document_name")) & same_page)
+    numbered = chunks.alias("c").join(before.alias("b"), F.col("c.document_name").eqNullSafe(F.col("b.document_name")) & same_page)
     index = (F.col("b._before") + F.col("c.position")).cast("int")
     key = T.document_key(F.col("c.document_name"))
     return numbered.select(

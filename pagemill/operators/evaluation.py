@@ -23,8 +23,8 @@ def word_error(truth: Column, hypothesis: Column) -> Column:
     words = lambda c: F.filter(F.split(evaluated_form(c), " "), lambda w: F.length(w) > 0)
     a, b = words(truth), words(hypothesis)
     once = lambda value, step: F.get(F.transform(F.array(value), step), F.lit(0))
-    # characters from U+4E00 on stand for the words; none is a surrogate for up to 35,000 distinct words
-    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n + 0x4E00), 4, "0")), "UTF-16BE")
+    # characters from U+10000 on stand for the words: a million of them, none a surrogate
+    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n + 0x10000), 8, "0")), "UTF-32")
     coded = lambda ws, known: F.array_join(F.transform(ws, lambda w: letter(F.array_position(known, w))), "")
     pair = F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("known"))
     return once(pair, lambda p: F.levenshtein(coded(p["a"], p["known"]), coded(p["b"], p["known"])) / F.greatest(F.lit(1), F.size(p["a"])))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagemill.config import DEFAULT, Settings
 from pagemill.functions import text as T
+from pagemill.runtime import small_side, written
 
 #: Fixed values of the ranking function (Okapi): k1, b, and the share of the mean for common words.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -32,6 +33,16 @@ def chunk_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("document_key", "chunk_index", F.size(T.tokens(F.col("text"))).cast("long").alias("length"))
 
 
+def indexed(questions: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """postings and chunk_lengths, written, of the documents that are asked about: texts are split into words once."""
+    keys = small_side(written(questions.select("document_key").distinct(), "asked"))
+    words = chunks.join(keys, "document_key", "left_semi").select("document_key", "chunk_index", T.tokens(F.col("text")).alias("words"))
+    posted = words.select("document_key", "chunk_index", F.explode_outer("words").alias("token")).groupBy("document_key", "chunk_index", "token").agg(F.count("*").alias("tf"))
+    kept = written(posted, "postings")
+    lengths = kept.groupBy("document_key", "chunk_index").agg(F.sum(F.when(F.col("token").isNotNull(), F.col("tf")).otherwise(0)).alias("length"))
+    return kept.where("token IS NOT NULL"), written(lengths, "lengths")
+
+
 def term_weights(posted: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((document_key, token, idf), (document_key, n_chunks, mean_length))."""
     documents = lengths.groupBy("document_key").agg(F.count("*").alias("n_chunks"), (F.sum("length").cast("double") / F.count("*")).alias("mean_length"))
@@ -48,9 +59,9 @@ def question_tokens(questions: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "document_key", "token").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+def bm25_scores(questions: DataFrame, chunks: DataFrame, posted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, document_key, chunk_index, n_chunks, score) of chunks that share a word with their question."""
-    posted, lengths = postings(chunks), chunk_lengths(chunks)
+    posted, lengths = posted or (postings(chunks), chunk_lengths(chunks))
     idf, documents = term_weights(posted, lengths)
     asked = question_tokens(questions)
     hits = asked.join(posted, ["document_key", "token"]).join(idf, ["document_key", "token"]).join(lengths, ["document_key", "chunk_index"]).join(documents, "document_key")
@@ -65,8 +76,8 @@ def ranked(scores: DataFrame, limit: Column, positive: bool = False) -> DataFram
     return top.where("score > 0") if positive else top
 
 
-def bm25_ranking(questions: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    return ranked(bm25_scores(questions, chunks), candidate_pool(F.col("n_chunks"), settings), positive=True)
+def bm25_ranking(questions: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT, posted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    return ranked(bm25_scores(questions, chunks, posted or indexed(questions, chunks)), candidate_pool(F.col("n_chunks"), settings), positive=True)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -77,13 +88,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 def dense_ranking(questions: DataFrame, vectors: DataFrame, limit: Column) -> DataFrame:
     """Exact cosine ranks from (query_id, document_key, vector) and (document_key, chunk_index, embedding)."""
-    pairs = questions.join(vectors, "document_key")
+    # counted questions go to the vectors: these stay where they are, each task ranks its own, and only ranks move
+    pairs = vectors.join(small_side(questions, 50_000), "document_key")
     return ranked(pairs.select("query_id", "document_key", "chunk_index", F.round(cosine(F.col("vector"), F.col("embedding")), DIGITS).alias("score")), limit)
 
 
-def bag_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+def bag_scores(questions: DataFrame, chunks: DataFrame, posted: DataFrame | None = None) -> DataFrame:
     """Cosine of word counts: the deterministic dense default where no embedding model is plugged in."""
-    posted = postings(chunks)
+    posted = postings(chunks) if posted is None else posted
     norms = posted.groupBy("document_key", "chunk_index").agg(F.sum(F.col("tf") * F.col("tf")).alias("cc"))
     asked = question_tokens(questions)
     length = asked.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("qtf")).alias("qq"))
@@ -137,9 +149,10 @@ def retrieve(questions: DataFrame, chunks: DataFrame, settings: Settings = DEFAU
     asked = questions.where(~T.is_blank(F.col("question")))
     totals = chunks.groupBy("document_key").agg(F.count("*").alias("n_chunks"))
     pool = candidate_pool(F.col("n_chunks"), settings)
+    posted = indexed(asked, chunks)
     if dense is None:
-        dense = ranked(bag_scores(asked, chunks).join(totals, "document_key"), pool)
-    fused = fuse(dense, bm25_ranking(asked, chunks, settings), settings).join(totals, "document_key").where(F.col("fused_rank") <= pool)
+        dense = ranked(bag_scores(asked, chunks, posted[0]).join(totals, "document_key"), pool)
+    fused = fuse(dense, bm25_ranking(asked, chunks, settings, posted), settings).join(totals, "document_key").where(F.col("fused_rank") <= pool)
     candidates = evidence(fused, chunks).join(asked.select("query_id", "question"), "query_id")
     return cut_and_order(candidates.withColumn("rerank_score", reranker(F.col("question"), F.col("text"))), settings)
 
@@ -147,14 +160,19 @@ def retrieve(questions: DataFrame, chunks: DataFrame, settings: Settings = DEFAU
 def overview(chunks: DataFrame, limit: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """Evenly spread chunks of each document, blanks ignored; all of a short document, none for limit 0."""
     count = settings.overview_chunks if limit is None else limit
+    some = chunks.where(~T.is_blank(F.col("text"))).withColumn("page", F.coalesce("page_number", F.lit(0)))
+    # places come from page counts: windows hold a row per page, or a page's chunk numbers, never a document's texts
     w = Window.partitionBy("document_key")
-    placed = chunks.where(~T.is_blank(F.col("text"))).withColumns(
-        {"place": F.row_number().over(w.orderBy(F.coalesce("page_number", F.lit(0)), "chunk_index")) - 1, "total": F.count("*").over(w)}
-    )
+    before = w.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = some.groupBy("document_key", "page").agg(F.count("*").alias("n")).withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(w)}).drop("n")
+    within = Window.partitionBy("document_key", "page").orderBy("chunk_index")
+    numbered = some.select("document_key", "page", "chunk_index").withColumn("r", F.row_number().over(within)).join(pages, ["document_key", "page"])
+    picks = numbered.select("document_key", "chunk_index", "total", (F.col("before") + F.col("r") - 1).cast("int").alias("place"))
     if count <= 0:
-        return placed.where(F.lit(False))
-    step = F.col("total").cast("double") / F.lit(count)
+        picks = picks.where(F.lit(False))
+    step = F.col("total").cast("double") / F.lit(max(count, 1))
     # the place is taken if some i < count has floor(i * step) = place: the least i with i * step >= place is the only candidate
     i = F.ceil(F.col("place") / step)
     taken = lambda x: (x < count) & (F.floor(x * step) == F.col("place"))
-    return placed.where((F.col("total") <= count) | taken(i) | taken(i - 1) | taken(i + 1))
+    chosen = picks.where((F.col("total") <= count) | taken(i) | taken(i - 1) | taken(i + 1))
+    return some.drop("page").join(chosen, ["document_key", "chunk_index"]).select(*chunks.columns, "place", "total")

@@ -75,13 +75,14 @@ class Engine:
     def _recognised(self, path: str) -> DataFrame:
         """(document_name, page_number, lines, confidence) of image files."""
         images = self.spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{png,PNG,jpg,JPG,jpeg,JPEG}").load(path)
-        found = imaging.recognise(imaging.image_lines(images), self.recogniser, self.settings.recognizer_batch)
+        found = imaging.recognise(imaging.image_lines(images, self.settings.denoise_images), self.recogniser, self.settings.recognizer_batch)
         return found.select(T.base_name(F.col("path")).alias("document_name"), F.lit(1).alias("page_number"), "lines", F.round(line_confidence(F.col("lines")), 4).alias("confidence"))
 
     def _recognised_scans(self, files: DataFrame, scans: DataFrame) -> DataFrame:
         """(document_name, page_number, lines, confidence) of the scans whose image the PDF reader gives."""
         images = ingest.page_images(files, scans, self.pdf_pages)
-        found = imaging.recognise(imaging.image_lines(images), self.recogniser, self.settings.recognizer_batch)
+        lines = imaging.image_lines(images, self.settings.denoise_images, self.settings.pdf_max_dimension)
+        found = imaging.recognise(lines, self.recogniser, self.settings.recognizer_batch)
         name = F.split("path", "\x1f")
         return found.select(name[0].alias("document_name"), name[1].cast("int").alias("page_number"), "lines", F.round(line_confidence(F.col("lines")), 4).alias("confidence"))
 

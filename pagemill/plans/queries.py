@@ -169,8 +169,9 @@ def dense_topk(spark, sf_dir):
 def rrf_fuse(spark, sf_dir):
     chunks, asked = D.chunks(spark, sf_dir), D.questions(spark, sf_dir)
     totals = chunks.groupBy("document_key").agg(F.count("*").alias("n_chunks"))
-    dense = ranking.ranked(ranking.bag_scores(asked, chunks).join(totals, "document_key"), ranking.candidate_pool(F.col("n_chunks")))
-    return ranking.fuse(dense, ranking.bm25_ranking(asked, chunks)).select("query_id", "chunk_index", "rrf_score", "fused_rank")
+    posted = ranking.indexed(asked, chunks)
+    dense = ranking.ranked(ranking.bag_scores(asked, chunks, posted[0]).join(totals, "document_key"), ranking.candidate_pool(F.col("n_chunks")))
+    return ranking.fuse(dense, ranking.bm25_ranking(asked, chunks, posted=posted)).select("query_id", "chunk_index", "rrf_score", "fused_rank")
 
 
 @query

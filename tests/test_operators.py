@@ -191,3 +191,34 @@ def test_error_rates_equal_edit_distances(spark):
 def test_bands_follow_runs(spark):
     flags = spark.createDataFrame([(1, i, f) for i, f in enumerate([False, True, True, False, False, True])], "k int, row int, f boolean")
     assert sorted((r["start"], r["end"]) for r in layout.islands(flags, ["k"], "row", "f").collect()) == [(1, 3), (5, 6)]
+
+
+def test_word_error_of_very_many_words(spark):
+    from pagemill.operators.evaluation import word_error
+
+    words = [f"w{i}" for i in range(3_000)]
+    df = spark.createDataFrame([(" ".join(words), " ".join(words[:1_500] + ["other"] + words[1_501:])), ("", ""), (None, "a")], "t string, h string")
+    assert [r["e"] for r in df.select(word_error(F.col("t"), F.col("h")).alias("e")).collect()] == [1 / 3_000, 0.0, 1.0]
+
+
+def test_chunks_of_a_nameless_document_stay(spark):
+    from pagemill.operators.chunking import chunk_records
+
+    rows = [(None, 1, "digital_text", "m", 0, "a", None), (None, 2, "digital_text", "m", 0, "b", None), ("d", None, "digital_text", "m", 0, "c", None)]
+    df = spark.createDataFrame(rows, "document_name string, page_number int, content_type string, extraction_method string, position int, text string, ocr_confidence double")
+    assert sorted((r["text"], r["chunk_index"]) for r in chunk_records(df).collect()) == [("a", 0), ("b", 1), ("c", 0)]
+
+
+def test_specks_go_and_crops_stay_inside():
+    import numpy as np
+
+    from pagemill.operators import imaging
+
+    page = np.full((120, 200), 255, np.uint8)
+    page[40:60, 30:150] = 0
+    page[5, 5] = 0
+    assert imaging.median_of_nine(page)[5, 5] == 255 and imaging.median_of_nine(page)[50, 90] == 0
+    crops = imaging.segment_lines(page)
+    assert [c.shape for c in crops] == [(32, 132)]
+    assert [c.shape for c in imaging.segment_lines(np.full((50, 40), 255, np.uint8))] == [(50, 40)] and imaging.segment_lines(np.zeros((0, 5), np.uint8)) == []
+    assert max(imaging.preprocess(page, True, 100)[0][0].shape) <= 100
