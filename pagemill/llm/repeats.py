@@ -277,9 +277,18 @@ def recut(units: Units, rows: DataFrame, level: int) -> DataFrame:
     return chosen.mapInArrow(run, PLACED)
 
 
-def _level(units: Units, rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """(covered, contested), written, of rows with texts, ranked again under the level's anchors."""
+def _level(units: Units, rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame | None]:
+    """(covered, contested), written, of rows with texts, ranked again under the level's anchors.
+
+    At the last level each window is its own anchor: equal names are equal windows, and nothing is contested.
+    """
     with scratch(rows.sparkSession):
+        if units.grams[level] == units.length:
+            cut = written(recut(units, rows, level).select(*NAME, "at", "mh", "s", "ord", "need", "copies"), "level")
+            same = cut.groupBy("mh", "s").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("last > first") if units.ordered else cut.groupBy("mh", "s").agg(F.sum("copies").alias("total")).where("total > 1")
+            met = cut.where("need").select(*NAME, "at", "mh", "s", *["ord"] * units.ordered).join(written(same, "names"), ["mh", "s"])
+            met = met.where("ord > first") if units.ordered else met
+            return written(met.select(*NAME, "at", F.lit(1).alias("n")), "covered", result=True), None
         cut = written(recut(units, rows, level), "level")
         met = meet(units, cut, written(repeated(units, anchor_totals(cut, units.ordered)), "anchors"))
         covered, contested = judge(units, written(met, "met"))
@@ -293,8 +302,8 @@ def settle_by_ranks(units: Units, contested: DataFrame, docs: DataFrame) -> Data
     for level in range(1, len(units.grams)):
         more, left = _level(units, rows, level)
         covered = covered.union(more)
-        # at the last level windows are their own anchors, and nothing is left
-        rows = with_texts(units, left, segments)
+        if left is not None:
+            rows = with_texts(units, left, segments)
     return covered
 
 
@@ -372,6 +381,8 @@ def settle_by_texts(units: Units, contested: DataFrame, docs: DataFrame) -> Data
             break
         more, left = _level(units, rows.join(small_side(large), "mh", "left_semi"), level + 1)
         covered = covered.union(more)
+        if left is None:
+            break
         rows = written(with_texts(units, left, segments), "parts")
     return covered
 
