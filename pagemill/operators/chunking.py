@@ -105,6 +105,13 @@ def chunk_lines(df: DataFrame, keys: list[str], lines: str, settings: Settings =
     return ready.mapInArrow(run, f"{kinds}, position int, text string, ocr_confidence double")
 
 
+def repositioned(chunks: DataFrame) -> DataFrame:
+    """Chunks whose position runs over the document, with positions from 0 in each page, as chunk_records takes them."""
+    first = chunks.groupBy(F.col("document_name").alias("f_document"), F.col("page_number").alias("f_page")).agg(F.min("position").alias("f_position"))
+    same = F.col("document_name").eqNullSafe(F.col("f_document")) & F.col("page_number").eqNullSafe(F.col("f_page"))
+    return chunks.join(first, same).withColumn("position", (F.col("position") - F.col("f_position")).cast("int")).drop("f_document", "f_page", "f_position")
+
+
 def chunk_records(chunks: DataFrame, generation: str = "0") -> DataFrame:
     """Chunk rows (schema CHUNKS) from (document_name, page_number, content_type, extraction_method, position, text, ocr_confidence).
 

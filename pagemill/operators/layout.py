@@ -26,12 +26,21 @@ def boilerplate_lines(pages: DataFrame) -> DataFrame:
 
 
 def usable_text(pages: DataFrame, boilerplate: DataFrame | None = None) -> DataFrame:
-    """pages with usable_text: lines that aren't boilerplate, in order."""
-    noise = (boilerplate if boilerplate is not None else boilerplate_lines(pages)).select("document_name", F.col("line").alias("stripped"))
-    kept = page_lines(pages).withColumn("stripped", T.strip(F.col("line"))).join(noise, ["document_name", "stripped"], "left_anti")
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    joined = kept.groupBy("document_name", "page_number").agg(T.strip(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).alias("usable_text"))
-    return pages.join(joined, ["document_name", "page_number"], "left").withColumn("usable_text", F.coalesce("usable_text", F.lit("")))
+    """pages with usable_text: lines that aren't boilerplate, in order.
+
+    Rows are told apart by document, page number and text, so that a null number
+    keeps its text and different texts under one number keep their own.
+    """
+    noise = (boilerplate if boilerplate is not None else boilerplate_lines(pages)).select(F.col("document_name").alias("n_document"), F.col("line").alias("n_line"))
+    keyed = pages.withColumn("_text", F.sha2(F.coalesce("raw_text", F.lit("")), 256))
+    tall = keyed.select("document_name", "page_number", "_text", F.posexplode(T.lines(F.col("raw_text"))).alias("line_no", "line"))
+    stripped = tall.where(~T.is_blank(F.col("line"))).withColumn("stripped", T.strip(F.col("line")))
+    kept = stripped.join(noise, F.col("document_name").eqNullSafe(F.col("n_document")) & (F.col("stripped") == F.col("n_line")), "left_anti")
+    ordered = F.array_sort(F.collect_set(F.struct("line_no", "line")))
+    joined = kept.groupBy("document_name", "page_number", "_text").agg(T.strip(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).alias("usable_text"))
+    found = joined.select(F.col("document_name").alias("j_document"), F.col("page_number").alias("j_page"), F.col("_text").alias("j_text"), "usable_text")
+    same = F.col("document_name").eqNullSafe(F.col("j_document")) & F.col("page_number").eqNullSafe(F.col("j_page")) & (F.col("_text") == F.col("j_text"))
+    return keyed.join(found, same, "left").select(*[F.col(f"`{c}`") for c in pages.columns], F.coalesce("usable_text", F.lit("")).alias("usable_text"))
 
 
 def route_pages(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -52,6 +61,20 @@ def ocr_budget(routed: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     ).withColumn("over_budget", F.col("ocr_pages") > settings.max_ocr_pages)
 
 
+def budgeted(routed: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(digital pages, pages to recognise, rejects of documents over the budget) of routed pages; the first two leave such documents out."""
+    over = ocr_budget(routed, settings).where("over_budget").select("document_name")
+    within = routed.join(over, "document_name", "left_anti")
+    error = F.lit(f"more than {settings.max_ocr_pages} pages need recognition")
+    return within.where("route = 'digital'"), within.where("route = 'ocr'").select("document_name", "page_number"), over.select(F.lit(None).cast("string").alias("path"), "document_name", error.alias("error"))
+
+
+def unrecognised(scans: DataFrame) -> DataFrame:
+    """Rejects of pages that need recognition and had none."""
+    page = F.coalesce(F.col("page_number").cast("string"), F.lit("without number"))
+    return scans.select(F.lit(None).cast("string").alias("path"), "document_name", F.format_string("page %s needs recognition", page).alias("error"))
+
+
 def islands(flags: DataFrame, by: list[str], order: str, flag: str) -> DataFrame:
     """(by, start, end) half-open ranges of consecutive true flags."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -43,14 +43,12 @@ class Engine:
         pages = written(pages, "pages")
         paged = pages.where("page_number IS NOT NULL").where(T.extension(F.col("document_name")) == ".pdf").select("document_name", "page_number", "raw_text", "has_image")
         routed = written(layout.route_pages(paged, self.settings), "routed")
-        budget = layout.ocr_budget(routed, self.settings).where("over_budget").select("document_name")
-        over = budget.select(F.lit(None).cast("string").alias("path"), "document_name", F.lit(f"more than {self.settings.max_ocr_pages} pages need recognition").alias("error"))
-        digital = routed.where("route = 'digital'").join(budget, "document_name", "left_anti").select("document_name", "page_number", F.col("usable_text").alias("text"), F.lit("pymupdf").alias("extraction_method"))
+        read, scans, over = layout.budgeted(routed, self.settings)
+        digital = read.select("document_name", "page_number", F.col("usable_text").alias("text"), F.lit("pymupdf").alias("extraction_method"))
         plain = pages.where("page_number IS NULL").select("document_name", "page_number", F.col("raw_text").alias("text"), F.when(T.extension(F.col("document_name")) == ".docx", "python-docx").otherwise("plaintext").alias("extraction_method"))
         texts = chunking.chunk_texts(digital.unionByName(plain), ["document_name", "page_number", "extraction_method"], "text", self.settings)
         chunks = texts.select("document_name", "page_number", F.lit("digital_text").alias("content_type"), "extraction_method", "position", "text", F.lit(None).cast("double").alias("ocr_confidence"))
         kept = digital.unionByName(plain).select("document_name", "page_number", F.lit("digital_text").alias("content_type"), "extraction_method")
-        scans = routed.where("route = 'ocr'").join(budget, "document_name", "left_anti").select("document_name", "page_number")
         lost = scans
         if self.recogniser is not None:
             lines = written(self._recognised(path).unionByName(self._recognised_scans(files, scans)), "lines")
@@ -69,8 +67,7 @@ class Engine:
         names = files.select("document_name").distinct()
         empty = names.join(records.select("document_name").distinct(), "document_name", "left_anti").join(broken.unionByName(over).select("document_name").distinct(), "document_name", "left_anti")
         silent = empty.select(F.lit(None).cast("string").alias("path"), "document_name", F.lit("No readable text found in this document.").alias("error"))
-        unread = lost.select(F.lit(None).cast("string").alias("path"), "document_name", F.format_string("page %d needs recognition", "page_number").alias("error"))
-        return summary, refused.unionByName(broken).unionByName(over).unionByName(unread).unionByName(silent)
+        return summary, refused.unionByName(broken).unionByName(over).unionByName(layout.unrecognised(lost)).unionByName(silent)
 
     def _recognised(self, path: str) -> DataFrame:
         """(document_name, page_number, lines, confidence) of image files."""

@@ -119,13 +119,73 @@ def ingest_schema():
     return CHUNKS
 
 
-def test_stream_of_pages_replaces_documents(spark, tmp_path):
+PAGE = "document_name string, page_number int, raw_text string, has_image boolean"
+
+
+def streamed(spark, tmp_path, store, rows, **kw):
+    spark.createDataFrame(rows, PAGE).write.mode("append").parquet(f"{tmp_path}/in")
+    stream_pages(spark, f"{tmp_path}/in", store, f"{tmp_path}/mark", **kw).awaitTermination()
+
+
+def texts(store):
+    return sorted((r["document_name"], r["page_number"] or 0, r["chunk_index"], r["text"]) for r in store.chunks().collect())
+
+
+def test_streamed_pages_replace_pages_and_keep_others(spark, tmp_path):
     store = ChunkStore(spark, f"{tmp_path}/log")
-    schema = "document_name string, page_number int, raw_text string, has_image boolean"
-    for text in ("first version of the page", "second version of the page"):
-        spark.createDataFrame([("d.pdf", 1, text, False)], schema).write.mode("append").parquet(f"{tmp_path}/in")
-        stream_pages(spark, f"{tmp_path}/in", store, f"{tmp_path}/mark").awaitTermination()
-    assert [r["text"] for r in store.chunks().collect()] == ["second version of the page"]
+    one, two = "the first page tells of leave and its requests", "the second page tells of travel and its receipts"
+    streamed(spark, tmp_path, store, [("d.pdf", 1, "an old version of the first page of this", False)])
+    streamed(spark, tmp_path, store, [("d.pdf", 1, one, False), ("e.pdf", 1, one, False)])
+    streamed(spark, tmp_path, store, [("D.pdf ", 2, two, False)])
+    assert texts(store) == [("D.pdf ", 1, 0, one), ("D.pdf ", 2, 1, two), ("e.pdf", 1, 0, one)]
+
+
+def test_streamed_pages_are_routed_over_batches(spark, tmp_path):
+    store = ChunkStore(spark, f"{tmp_path}/log")
+    body = "page {} has words of its own, enough of them to be read"
+    streamed(spark, tmp_path, store, [("d.pdf", 1, f"Footer of the house\n{body.format('one')}", False), ("d.pdf", 3, "", True), (" ", 1, "x", None)])
+    streamed(spark, tmp_path, store, [("d.pdf", 2, f"Footer of the house\n{body.format('two')}", False)])
+    assert [t[3] for t in texts(store)] == [body.format("one"), body.format("two")]
+    errors = {(r["document_name"], r["error"]) for r in store.rejects().collect()}
+    assert errors == {("d.pdf", "page 3 needs recognition"), (" ", "page without a document name")}
+
+
+def test_streamed_chunks_have_vectors_of_their_own_beside_uploads(spark, tmp_path):
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "d.txt").write_text("an uploaded text of many words")
+    embedder = providers.HashedEmbedder()
+    engine = Engine(spark, f"{tmp_path}/log", embedder=embedder)
+    engine.ingest(f"{tmp_path}/files")
+    new = "a streamed page with other words in it"
+    streamed(spark, tmp_path, engine.store, [("d.txt", 1, new, False)], embedder=embedder)
+    assert [t[3] for t in texts(engine.store)] == ["an uploaded text of many words", new]
+    alone = Engine(spark, f"{tmp_path}/alone", embedder=embedder)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "n.txt").write_text(new)
+    alone.ingest(f"{tmp_path}/other")
+    want = alone.store.vectors().first()["embedding"]
+    found = {r["chunk_index"]: r["embedding"] for r in engine.store.vectors().collect()}
+    assert len(found) == 2 and found[1] == want and found[0] != want
+    again = engine.store.compact(f"{tmp_path}/compact")
+    assert texts(again) == texts(engine.store) and again.vectors().count() == 2
+
+
+def test_streamed_pages_of_deleted_documents_stay_deleted(spark, tmp_path):
+    store = ChunkStore(spark, f"{tmp_path}/log")
+    one, two = "the first page of a document with some words", "the second page of a document with some words"
+    streamed(spark, tmp_path, store, [("d.pdf", 1, one, False)])
+    store.delete(["d.pdf"])
+    assert texts(store) == []
+    streamed(spark, tmp_path, store, [("d.pdf", 2, two, False)])
+    assert texts(store) == [("d.pdf", 2, 0, two)]
+
+
+def test_usable_text_of_null_and_repeated_page_numbers(spark):
+    from pagemill.operators import layout
+
+    rows = [("d", None, "text without a number", False), ("d", 1, "one text", False), ("d", 1, "another text", False), ("d", 2, "same", False), ("d", 2, "same", False)]
+    found = layout.usable_text(spark.createDataFrame(rows, PAGE)).collect()
+    assert sorted((r["page_number"] or 0, r["raw_text"], r["usable_text"]) for r in found) == sorted((p or 0, t, t) for _, p, t, _ in rows)
 
 
 class Broken:
