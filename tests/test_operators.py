@@ -222,3 +222,21 @@ def test_specks_go_and_crops_stay_inside():
     assert [c.shape for c in crops] == [(32, 132)]
     assert [c.shape for c in imaging.segment_lines(np.full((50, 40), 255, np.uint8))] == [(50, 40)] and imaging.segment_lines(np.zeros((0, 5), np.uint8)) == []
     assert max(imaging.preprocess(page, True, 100)[0][0].shape) <= 100
+
+
+def test_error_rates_on_unfolded_text_equal_plain_edit_distance(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    pairs = [("Café  ñandú 日本", "cafe ñandu 日"), ("😀 smile 😀", "smile 😀 😁"), ("", "é"), ("é", None), ("a b a b", "b a b a"), ("x", "x")]
+    df = spark.createDataFrame(pairs, "truth string, hypothesis string")
+    got = df.select("truth", "hypothesis", evaluation.character_error(F.col("truth"), F.col("hypothesis")).alias("c"), evaluation.word_error(F.col("truth"), F.col("hypothesis")).alias("w")).collect()
+    for r in got:
+        a, b = (" ".join((x or "").lower().split()) for x in (r["truth"], r["hypothesis"]))
+        assert r["c"] == pytest.approx(distance(a, b) / max(1, len(a)))
+        assert r["w"] == pytest.approx(distance(a.split(), b.split()) / max(1, len(a.split())))
