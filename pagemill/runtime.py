@@ -69,13 +69,18 @@ def written(df: DataFrame, tag: str, result: bool = False) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at the end what `written` made inside and isn't a result; nothing lazy may depend on it then."""
+    """Deletes at the end what `written` made inside and isn't a result; nothing lazy may depend on it then.
+
+    Shuffle files of finished jobs go too: Spark removes them once the driver's collector has
+    seen that nothing refers to them, which an idle driver does twice an hour only.
+    """
     _scratch.append([])
     try:
         yield
     finally:
         for path in _scratch.pop():
             drop_folder(spark, path)
+        spark.sparkContext._jvm.System.gc()
 
 
 def spread(df: DataFrame) -> DataFrame:
