@@ -44,7 +44,7 @@ PLACED = f"{ROWS}, ord long, need boolean, copies int, base long"
 FIELDS = ["key", "th", "at", "n", "mh", "s", "ord", "need", "copies", "base", "seg"]
 KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary())
 #: Bytes of segments that are cut or compared at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -185,9 +185,11 @@ def judge(units: Units, met: DataFrame) -> tuple[DataFrame, DataFrame]:
         out = F.col("need") & (F.col("same") > 1)
         stay = (F.col("same") == 1) | (F.struct(*NAME, "at") == F.col("rep"))
         need, copies = F.col("need") & (F.col("same") == 1), F.least(F.col("same"), F.lit(2))
-    covered = covered.union(told.where(out).select(*NAME, "at", "n"))
     carried = [x for x in ("base",) if x in met.columns]
-    contested = told.where(stay).select(*NAME, "at", "n", "mh", "s", "ord", need.alias("need"), copies.cast("int").alias("copies"), *carried)
+    # written too, since three plans read it
+    told = written(told.select(*NAME, "at", "n", "mh", "s", "ord", need.alias("need"), copies.cast("int").alias("copies"), *carried, out.alias("out"), stay.alias("stay")).where("out OR stay"), "told")
+    covered = covered.union(told.where("out").select(*NAME, "at", "n"))
+    contested = told.where("stay").drop("out", "stay")
     wanted = contested.groupBy("mh").agg(F.max("need").alias("wanted")).where("wanted").select("mh")
     return covered, contested.join(wanted, "mh").select(*NAME, "at", "n", "mh", "s", "ord", "need", "copies", *carried)
 
