@@ -193,14 +193,15 @@ def remove_repeats(df: DataFrame, batches: int = 3, fanout: int = 1, units: R.Un
                 batch = batch.where(F.col("key") > low)
             if high is not None:
                 batch = batch.where(F.col("key") <= high)
-            rows = batch_rows(batch, units)
-            done, open_ = index.judge(rows)
-            # both are written now: compaction may replace the runs they were read from
-            covered.append(written(done, "covered"))
-            contested.append(written(open_, "contested"))
-            if high is not None:
-                index.last = high
-                index.append(rows)
+            with scratch(spark):
+                rows = batch_rows(batch, units)
+                done, open_ = index.judge(rows)
+                # both are written now: compaction may replace the runs they were read from
+                covered.append(written(done, "covered", result=True))
+                contested.append(written(open_, "contested", result=True))
+                if high is not None:
+                    index.last = high
+                    index.append(rows)
         waiting = contested[0]
         for more in contested[1:]:
             waiting = waiting.unionByName(more)
