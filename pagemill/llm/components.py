@@ -17,13 +17,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a node moves to that node's smallest neighbour."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours move to the smallest of these (edges have u > v)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u")
+    moved = edges.join(least.hint("merge"), "u")
     return (
         moved.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         .union(least.select("u", F.col("m").alias("v")))
@@ -36,7 +36,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round is written to the shared folder, so that lineage stays short
     and a lost executor costs one round.  Null ends are dropped, self-loops
-    ignored, repeated edges merged; an empty table gives an empty result.
+    ignored, repeated edges merged; an empty table gives an empty result.  Joins
+    are merges: edge files pack so well that Spark would send millions of edges
+    to the driver.
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(now)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.anchors import mix
 from pagemill.llm.components import components
-from pagemill.runtime import ship_package, written
+from pagemill.runtime import ship_package, small_side, written
 
 SEED = 42
 BLOCK = 1 << 16
@@ -68,16 +68,16 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(df: DataFrame, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp): fp is the fingerprint as a signed long."""
+    """(key, th, fp): th is the text's hash, fp the fingerprint as a signed long."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             fps = [fingerprint(x, shingle) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], ["key", "th", "fp"])
 
-    chosen = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "key long, fp long").withColumnRenamed("key", key)
+    chosen = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), text_hash(F.col(text)).alias("th"))
+    return chosen.mapInArrow(run, "key long, th long, fp long").withColumnRenamed("key", key)
 
 
 def ring(limit: int) -> list[tuple[int, int]]:
@@ -175,15 +175,24 @@ def _search(limit: int):
     return run
 
 
+def in_shared_groups(rows: DataFrame) -> DataFrame:
+    """Rows (kind, part, ...) of groups of two or more, with the group's size n.
+
+    Spark takes exploded rows to be as few as those of the file they come from and
+    would send them all to the driver, so that the join's kind is stated.
+    """
+    shared = written(rows.groupBy("kind", "part").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    return rows.join(small_side(shared, otherwise="merge"), ["kind", "part"])
+
+
 def links(distinct: DataFrame, limit: int = 4, tile: int = 20_000) -> DataFrame:
     """Spanning edges (u, v) between representatives, from distinct (fp, rep)."""
     ship_package(distinct.sparkSession)
     keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for k, (_, m) in enumerate(key_masks(limit))])
     rows = distinct.select("fp", "rep", F.explode(keys).alias("k")).select("k.kind", "k.part", "fp", "rep")
-    shared = rows.groupBy("kind", "part").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
-    met = rows.join(shared, ["kind", "part"]).withColumn("blocks", blocks).withColumn("block", mine)
+    met = in_shared_groups(rows).withColumn("blocks", blocks).withColumn("block", mine)
     # a group of one block is tile -1; else each pair of blocks (and each block itself) is a tile
     tiles = F.when(F.col("blocks") == 1, F.array(F.lit(-1))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.least(b, F.col("block")) * F.col("blocks") + F.greatest(b, F.col("block")))
@@ -194,12 +203,21 @@ def links(distinct: DataFrame, limit: int = 4, tile: int = 20_000) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, limit: int = 4, tile: int = 20_000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp, component): component is the smallest key that is reachable over links."""
+    """(key, th, fp, class, component): class is the least fingerprint that is reachable over links, component the smallest key.
+
+    th is the hash of the row's text. Fingerprints are the nodes, so that different
+    texts under one key don't join their classes.
+    """
     prints = written(fingerprints(df, shingle, text, key).withColumnRenamed(key, "key"), "fingerprints")
-    distinct = written(prints.where("key IS NOT NULL").groupBy("fp").agg(F.min("key").alias("rep")), "distinct")
-    merged = components(links(distinct, limit, tile))
-    named = distinct.join(merged, distinct["rep"] == merged["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = prints.join(named, "fp", "left").select("key", "fp", F.when(F.col("key").isNotNull(), F.col("component")).alias("component"))
+    distinct = written(prints.where("key IS NOT NULL").groupBy("fp").agg(F.min("key").alias("lead")), "distinct")
+    merged = components(links(distinct.select("fp", F.col("fp").alias("rep")), limit, tile)).select(F.col("node").alias("fp"), F.col("component").alias("class"))
+    # joins are merges: each of these tables grows with the corpus, and none may go to the driver
+    met = written(distinct.join(merged.hint("merge"), "fp"), "linked")
+    least = met.groupBy("class").agg(F.min("lead").alias("component"))
+    joined = met.select("fp", "class").join(least.hint("merge"), "class")
+    named = distinct.join(joined.hint("merge"), "fp", "left").select("fp", F.coalesce("class", "fp").alias("class"), F.coalesce("component", "lead").alias("component"))
+    mine = lambda c: F.when(F.col("key").isNotNull(), F.col(c)).alias(c)
+    out = prints.join(named.hint("merge"), "fp", "left").select("key", "th", "fp", mine("class"), mine("component"))
     return out.withColumnRenamed("key", key)
 
 
@@ -319,9 +337,8 @@ def candidate_links(distinct: DataFrame, tile: int = 20_000) -> DataFrame:
     number = lambda k: F.conv(F.hex(F.substring("sketch", k * width + 1, width)), 16, 10).cast("long")
     keys = F.array(*[F.struct(F.lit(k).alias("kind"), number(k).alias("part")) for k in range(BANDS)])
     rows = distinct.select("rep", "sketch", F.explode(keys).alias("k")).select("k.kind", "k.part", "rep", "sketch")
-    shared = rows.groupBy("kind", "part").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    met = rows.join(shared, ["kind", "part"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+    met = in_shared_groups(rows).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = met.select("kind", "part", F.explode(_tiles()).alias("tile"), "rep", "sketch", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,9 +89,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A written table as a join's broadcast side if its counted rows are few, else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small_side(df: DataFrame, rows: int = 200_000, otherwise: str | None = None) -> DataFrame:
+    """A written table as a join's broadcast side if its counted rows are few, else as it is, or with the hint `otherwise`."""
+    if df.count() <= rows:
+        return F.broadcast(df)
+    return df.hint(otherwise) if otherwise else df
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

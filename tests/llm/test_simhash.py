@@ -159,3 +159,24 @@ def test_similar_documents_are_those_of_the_exact_similarity(spark):
     for tile in (20_000, 1):
         got = {x["doc_id"]: x["component"] for x in simhash.similar_documents(df, tile=tile).collect()}
         assert got == {i: i - 1 if i % 2 and i - 1 in near else i for i in range(len(texts))}
+
+
+def test_no_join_sends_the_corpus_to_the_driver(spark, tmp_path):
+    """Under Spark's own threshold: small files of fingerprints are thirty times as many rows once exploded."""
+    df = spark.createDataFrame([(i, t, "x", None, 1) for i, t in enumerate(corpus())], SCHEMA)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    out = simhash.near_duplicates(df, shingle=4)
+    out.collect()
+    assert "BroadcastHashJoin" not in plan(out)
+    spark.range(20_000).selectExpr("xxhash64(id) AS fp", "id AS rep").write.parquet(f"{tmp_path}/distinct")
+    found = simhash.links(spark.read.parquet(f"{tmp_path}/distinct"))
+    assert all("BuildLeft" not in line for line in plan(found).splitlines())
+
+
+def test_texts_under_one_id_do_not_join_their_classes(spark):
+    r = random.Random(8)
+    one, two = (" ".join(r.choice(["ab", "cd", "ef", "gh", "ij", "kl"]) + str(r.randint(0, 99)) for _ in range(80)) for _ in range(2))
+    df = spark.createDataFrame([(1, one, "x", None, 1), (1, two, "x", None, 1), (2, one, "x", None, 1), (3, two + " end", "x", None, 1)], SCHEMA)
+    got = simhash.near_duplicates(df, shingle=4).collect()
+    assert len({row["class"] for row in got}) == 2 and {row["component"] for row in got} == {1}
