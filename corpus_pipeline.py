@@ -4,8 +4,8 @@ STAGES are applied in order; each is written to the shared folder and read again
 so that a lost executor never costs more than a stage.
 
 1. quality: documents that the classifier rejects (score under 0.5) go.
-2. near_duplicates: of each class of near copies one document stays, that of least id;
-   texts that are no copies, and documents without an id, stay.
+2. near_duplicates: op2's method and parameters; of each class of linked fingerprints one
+   document stays, that of least id; texts without links, and documents without an id, stay.
 3. decontamination: documents that hold a benchmark item go.
 4. pii: personal values are replaced by pseudonyms; n_chars follows the text.  The key is
    the session's setting spark.pagemill.pseudonym.key, else one made for the session.
@@ -27,8 +27,8 @@ from pagemill.llm import bpe, decontaminate, mil, pseudonym, simhash
 from pagemill.llm.queries import tokenizer_file
 from pagemill.runtime import table, written
 
-#: Words of a shingle. op2's contract has four, and links at 4 of 64 bits; here texts of similarity 0.8 are near copies.
-SHINGLE = 5
+#: Words of a shingle and bits that may differ, as op2's contract has them.
+SHINGLE, LIMIT = 4, 4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null texts and texts without words are copies of each other; rows with a null id all stay; no rows give none."""
-    return simhash.one_of_each(docs, simhash.similar_documents(docs, shingle=SHINGLE))
+    return simhash.one_of_each(docs, simhash.near_duplicates(docs, shingle=SHINGLE, limit=LIMIT))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,35 @@ def test_empty_tables_and_clashing_columns(spark, tmp_path):
             out = stage(spark, out, f"{tmp_path}/{i}")
             assert out.columns == [x.split()[0] for x in names.split(", ")], name
         assert sorted(tuple(r) for r in out.collect()) == rows[:len(docs)]
+
+
+def test_near_copies_are_those_of_the_fingerprints(spark, tmp_path):
+    """The stage keeps the least id of each class that op2's method finds, and nothing else goes."""
+    from pagemill.llm import simhash
+
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("etaoinshrd") for _ in range(r.randint(2, 8)))
+    texts = []
+    for _ in range(40):
+        w = [word() for _ in range(r.randint(60, 200))]
+        for changes in (0, 1, 2, 4, 6):
+            v = list(w)
+            for _ in range(changes):
+                v[r.randrange(len(v))] = word()
+            texts.append(" ".join(v))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    fps = [simhash.fingerprint(t, 4) % (1 << 64) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    kept = sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert kept == [i for i in range(len(texts)) if root(i) == i] and len(kept) < len(texts)
