@@ -12,7 +12,7 @@ from pagemill.functions import text as T
 from pagemill.operators import answering as A
 from pagemill.operators import catalog, evaluation, layout, ranking
 from pagemill.plans import tables as D
-from pagemill.runtime import table, written
+from pagemill.runtime import ship_package, spread, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -301,7 +301,8 @@ def response_sources(spark, sf_dir):
 
 def _truth_and_hypothesis(spark, sf_dir):
     """Every line against itself with letters lost, beyond-ASCII characters folded."""
-    tall = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line"))
+    ship_package(spark)
+    tall = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line"))
     truth = F.regexp_replace("line", "[^\\x00-\\x7f]", "#")
     return tall.select("doc_id", F.col("line_no").cast("long").alias("line_no"), truth.alias("truth")).withColumn("hypothesis", F.regexp_replace("truth", "(?i)th| a |[.] ", " "))
 

@@ -240,3 +240,21 @@ def test_error_rates_on_unfolded_text_equal_plain_edit_distance(spark):
         a, b = (" ".join((x or "").lower().split()) for x in (r["truth"], r["hypothesis"]))
         assert r["c"] == pytest.approx(distance(a, b) / max(1, len(a)))
         assert r["w"] == pytest.approx(distance(a.split(), b.split()) / max(1, len(a.split())))
+
+
+def test_edit_distances_take_work_by_distance_not_length():
+    import time
+
+    from pagemill.operators.distance import edit_distances
+
+    r = random.Random(6)
+    for letters in ("ab", "abcdefgh ", "aé日", "a😀\U0010ffff", "a\xff\xfe"):
+        a = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(150)]
+        b = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) if i % 2 else a[i][: i % 7] + a[i][i % 11 :] for i in range(150)]
+        assert edit_distances(a, b).tolist() == [edit(x, y) for x, y in zip(a, b)]
+    assert edit_distances([], []).tolist() == []
+    long = "".join(r.choice("abcdefgh ") for _ in range(200_000))
+    began = time.perf_counter()
+    # a table of all pairs of characters would have 4 * 10 ** 10 cells
+    assert edit_distances([long, long], [long[:50_000] + "x" + long[50_001:150_000] + long[150_002:], long]).tolist() == [3, 0]
+    assert time.perf_counter() - began < 10
